@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_values import CURRENCY_SYMBOLS
+from .text import round_up
+
+
+def fixed(value: Column, places: int, grouped: bool = False) -> Column:
+    """A number with fixed places, rounded half up, optionally with thousands commas."""
+    form = f"%{',' if grouped else ''}.{places}f"
+    return F.format_string(form, round_up(value.cast("double"), places))
 
 
 def _whole(value: Column) -> Column:
@@ -62,20 +69,20 @@ def bytes_text(count: Column, precision: int = 2) -> Column:
         count < 1024, F.concat(_whole(count).cast("string"), F.lit(" B"))
     )
     for i, unit in enumerate(units, start=1):
-        value = F.format_string(f"%.{precision}f {unit}", count / F.lit(float(1024**i)))
+        value = F.concat(fixed(count / F.lit(float(1024**i)), precision), F.lit(f" {unit}"))
         text = text.otherwise(value) if unit == "PB" else text.when(count < 1024 ** (i + 1), value)
     return text
 
 
 def percent_text(fraction: Column, precision: int = 1, signed: bool = False) -> Column:
-    body = F.format_string(f"%.{precision}f%%", fraction * 100)
+    body = F.concat(fixed(fraction * 100, precision), F.lit("%"))
     return F.when(fraction > 0, F.concat(F.lit("+"), body)).otherwise(body) if signed else body
 
 
 def currency_text(amount: Column, currency: str = "USD", precision: int = 2) -> Column:
     symbol = CURRENCY_SYMBOLS.get(currency, currency + " ")
     places = 0 if currency == "JPY" else precision
-    return F.concat(F.lit(symbol), F.format_string(f"%,.{places}f", amount.cast("double")))
+    return F.concat(F.lit(symbol), fixed(amount, places, grouped=True))
 
 
 def list_text(items: Column, max_items: int = 5, separator: str = ", ") -> Column:
@@ -109,29 +116,28 @@ def time_ago(moment: Column, reference: Column) -> Column:
 def metric_text(value: Column, kind: str = "number") -> Column:
     """A KPI value as percent, currency, duration or plain number."""
     if kind == "percent":
-        return F.format_string("%.1f%%", value.cast("double"))
+        return F.concat(fixed(value, 1), F.lit("%"))
     if kind == "currency":
-        return F.format_string("$%,.2f", value.cast("double"))
+        return F.concat(F.lit("$"), fixed(value, 2, grouped=True))
     if kind == "duration":
         return metric_duration(value)
     if kind == "integer":
         return F.format_string("%,d", value.cast("bigint"))
-    return F.format_string("%,.1f", value.cast("double"))
+    return fixed(value, 1, grouped=True)
 
 
 def delta_text(delta: Column, kind: str = "number") -> Column:
     """A signed KPI change; a change below 1e-9 shows as zero without sign."""
     size = F.abs(delta.cast("double"))
-    forms = {
-        "percent": ("%.1f%%", "0.0%"),
-        "currency": ("$%,.2f", "$0.00"),
-        "duration": ("%.1f min", "0.0 min"),
-        "number": ("%,.1f", "0"),
-    }
-    form, zero = forms[kind]
+    shown, zero = {
+        "percent": (F.concat(fixed(size, 1), F.lit("%")), "0.0%"),
+        "currency": (F.concat(F.lit("$"), fixed(size, 2, grouped=True)), "$0.00"),
+        "duration": (F.concat(fixed(size, 1), F.lit(" min")), "0.0 min"),
+        "number": (fixed(size, 1, grouped=True), "0"),
+    }[kind]
     sign = F.when(delta < 0, "-").otherwise("+")
     return F.when(size < 1e-9, F.lit(zero)).when(
-        size.isNotNull(), F.concat(sign, F.format_string(form, size))
+        size.isNotNull(), F.concat(sign, shown)
     )
 
 
@@ -141,16 +147,14 @@ def change_text(change: Column, delta: Column) -> Column:
     whole = delta == F.floor(delta)
     sign = F.when(delta < 0, "-").otherwise("+")
     size = F.abs(delta)
-    number = F.when(whole, F.format_string("%,.0f", size)).otherwise(
-        F.format_string("%,.2f", size)
-    )
+    number = F.when(whole, fixed(size, 0, grouped=True)).otherwise(fixed(size, 2, grouped=True))
     difference = F.when(
         delta.isNotNull() & (delta != 0), F.concat(F.lit(" (Δ "), sign, number, F.lit(")"))
     ).otherwise(F.lit(""))
     return F.when(change.isNull(), F.lit("-")).otherwise(
-        F.concat(arrow, F.lit(" "), F.format_string("%.1f%%", F.abs(change)), difference)
+        F.concat(arrow, F.lit(" "), fixed(F.abs(change), 1), F.lit("%"), difference)
     )
 
 
 def money_or_dash(amount: Column) -> Column:
-    return F.when(amount > 0, F.format_string("$%.2f", amount)).otherwise(F.lit("-"))
+    return F.when(amount > 0, F.concat(F.lit("$"), fixed(amount, 2))).otherwise(F.lit("-"))

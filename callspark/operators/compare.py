@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import connected, rate, total
@@ -42,15 +42,14 @@ def compare_groups(current: DataFrame, previous: DataFrame, group: str, metrics:
         group_metrics(previous, group, metrics, "Previous"),
         group,
     )
-    every = Window.partitionBy()
+    merged = out
     for m in metrics:
-        if f"{m}_Current" not in out.columns:
+        if f"{m}_Current" not in merged.columns:
             continue
         cur, prev = F.col(f"{m}_Current"), F.col(f"{m}_Previous")
         delta = cur - prev
-        largest = F.greatest(
-            F.max(F.greatest(F.abs(cur), F.abs(prev))).over(every), F.lit(1e-9)
-        )
+        top = merged.agg(F.max(F.greatest(F.abs(cur), F.abs(prev)))).scalar()
+        largest = F.greatest(top, F.lit(1e-9))
         new = F.signum(delta) * F.least(F.lit(100.0), F.abs(delta) / largest * 100)
         known = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), delta / F.abs(prev) * 100))
         out = out.withColumn(f"{m}_Delta", delta).withColumn(

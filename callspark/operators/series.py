@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 STEPS = {
     "hourly": ("hour", "interval 1 hour"),
     "daily": ("day", "interval 1 day"),
@@ -12,6 +14,9 @@ STEPS = {
     "monthly": ("month", "interval 1 month"),
 }
 
+# Up to this many groups are ranked by one window.
+DIRECT_ROWS = 1_000_000
+
 # Pages that end within this many rows are answered by one top-n.
 SHALLOW_ROWS = 100_000
 
@@ -69,10 +74,32 @@ def moving_averages(
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-def rank_groups(groups: DataFrame, measure: str, key: str) -> DataFrame:
-    """Rank 1..n by a measure over an aggregated table (one row per group)."""
-    order = Window.orderBy(F.col(measure).desc_nulls_last(), key)
-    return groups.withColumn("rank", F.row_number().over(order))
+def rank_groups(groups: DataFrame, measure: str, key: str, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+    """Rank 1..n by a measure over an aggregated table (one row per group).
+
+    Up to ``direct_rows`` groups (agents, campaigns) one window ranks them. A larger table
+    (customers) is sorted by range over all partitions and written to the checkpoint
+    folder; the rank is then the row's place in its partition plus the sizes of the
+    partitions before it.
+    """
+    order = [F.col(measure).desc_nulls_last(), F.col(key)]
+    if groups.limit(direct_rows + 1).count() <= direct_rows:
+        return groups.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    spark = groups.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    place = F.monotonically_increasing_id()
+    # The checkpoint fixes which row is in which partition before sizes are counted.
+    placed = groups.orderBy(*order).withColumn("_place", place).checkpoint()
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # One row per partition of the sort, at most spark.sql.shuffle.partitions of them.
+    ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    in_part = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    rank = (F.col("_offset") + in_part + 1).cast("int")
+    return ranked.withColumn("rank", rank).drop("_place", "_part", "_offset")
 
 
 def newest(df: DataFrame, n: int = 10) -> DataFrame:

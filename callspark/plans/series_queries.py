@@ -238,6 +238,16 @@ def entries():
         """SELECT phone_number, calls, CAST(row_number() OVER (ORDER BY calls DESC, phone_number) AS INT) AS rank
            FROM (SELECT phone_number, count(*) AS calls FROM calls GROUP BY 1)""",
     )
+    add(
+        "w11_rank_many_groups",
+        lambda calls: s.rank_groups(
+            calls.groupBy("phone_number").agg(F.count(F.lit(1)).alias("calls")), "calls", "phone_number", 100
+        ),
+        """SELECT phone_number, calls, CAST(row_number() OVER (ORDER BY calls DESC, phone_number) AS INT) AS rank
+           FROM (SELECT phone_number, count(*) AS calls FROM calls GROUP BY 1)""",
+        order_calls,
+        with_orders,
+    )
     add(
         "o1_newest_calls",
         lambda calls: s.newest(calls, 10),
