@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from . import filter_queries, labeling_queries, metric_queries, series_queries, text_queries
+from . import (
+    filter_queries,
+    intent_queries,
+    labeling_queries,
+    metric_queries,
+    series_queries,
+    text_queries,
+)
 
-MODULES = [filter_queries, metric_queries, series_queries, text_queries, labeling_queries]
+MODULES = [
+    filter_queries,
+    metric_queries,
+    series_queries,
+    text_queries,
+    labeling_queries,
+    intent_queries,
+]
 
 
 def catalog() -> dict:
