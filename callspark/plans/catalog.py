@@ -9,6 +9,7 @@ from . import (
     metric_queries,
     series_queries,
     text_queries,
+    vector_queries,
 )
 
 MODULES = [
@@ -18,6 +19,7 @@ MODULES = [
     text_queries,
     labeling_queries,
     intent_queries,
+    vector_queries,
 ]
 
 
