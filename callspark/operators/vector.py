@@ -407,9 +407,10 @@ def retrieve_with_feedback(
     positive: list[str] | None = None,
     negative: list[str] | None = None,
     k: int = 10,
+    min_similarity: float = 0.5,
 ) -> DataFrame:
     """Scores of positive ids x 1.5, of negative ids x 0.5, sorted again and cut to k."""
-    found = retrieve(corpus, queries, as_of, 2 * k)
+    found = retrieve(corpus, queries, as_of, 2 * k, min_similarity=min_similarity)
     if not positive and not negative:
         return found
     score = F.col("score")

@@ -8,6 +8,7 @@ from . import (
     labeling_queries,
     metric_queries,
     series_queries,
+    source_queries,
     text_queries,
     vector_queries,
 )
@@ -20,6 +21,7 @@ MODULES = [
     labeling_queries,
     intent_queries,
     vector_queries,
+    source_queries,
 ]
 
 

@@ -158,13 +158,13 @@ def entries():
             UNION ALL SELECT 'recent_calls', {COLS} FROM calls
               WHERE "timestamp" > TIMESTAMP '2024-01-24 00:00:00'""",
     )
-    phone = F.concat(F.lit("(555) 01"), F.lpad("phone_number", 5, "0"))
+    phone = lambda: F.concat(F.lit("(555) 01"), F.lpad("phone_number", 5, "0"))
     add(
         "f14_phone_split",
         lambda c: f.phone_split(
             c.withColumn(
                 "phone_number",
-                F.when(F.col("call_type") == "inbound", F.concat(phone, F.lit("-")))
+                F.when(F.col("call_type") == "inbound", F.concat(phone(), F.lit("-")))
                 .otherwise(F.col("phone_number")),
             )
         )

@@ -205,11 +205,10 @@ def entries():
                       ["r0", "c0", "r0 / n0", "c0 * 100.0::DOUBLE / n0"],
                       ["total_revenue", "revenue_calls", "avg_revenue_per_call", "conversion_rate"]),
     )
-    p = F.col("is_current")
     add(
         "a14_period_tags",
         lambda c: m._both_periods(c, FIRST, LAST)
-        .groupBy(F.when(p, "current").otherwise("previous").alias("period"))
+        .groupBy(F.when(F.col("is_current"), "current").otherwise("previous").alias("period"))
         .agg(
             F.count(F.lit(1)).alias("calls"),
             F.date_format(F.min("timestamp"), "yyyy-MM-dd").alias("first_day"),
@@ -230,11 +229,11 @@ def entries():
           round(max(duration) - min(duration), 6) AS range,
           round(stddev_samp(duration) / avg(duration) * 100, 6) AS cv FROM calls""",
     )
-    status = F.when(F.col("outcome") == "connected", "Connected").otherwise("Disconnected")
+    status = lambda: F.when(F.col("outcome") == "connected", "Connected").otherwise("Disconnected")
     add(
         "a18_dataset_statistics",
         lambda c: rounded(
-            m.dataset_statistics(c.withColumn("connection_status", status)), "value"
+            m.dataset_statistics(c.withColumn("connection_status", status())), "value"
         ),
         """, s AS (SELECT *, CASE WHEN outcome = 'connected' THEN 'Connected' ELSE 'Disconnected' END
             AS connection_status FROM calls),

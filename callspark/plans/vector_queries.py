@@ -285,14 +285,12 @@ def entries():
     add(
         "v10_feedback",
         lambda i, qs: rounded(
-            v.retrieve_with_feedback(
-                i.withColumn("embedding", F.col("embedding")), qs, AS_OF, good, bad, 5
-            ).select("query_id", "id", "score", "rank"),
+            v.retrieve_with_feedback(i, qs, AS_OF, good, bad, 5, 0.15).select("query_id", "id", "score", "rank"),
             "score",
         ),
-        _scores() + f""", e AS (SELECT * FROM r WHERE rank <= 10 AND score >= 0.5),
+        retrieved(10) + f""", f AS (SELECT * FROM e WHERE rank <= 10),
           g AS (SELECT query_id, id, score * CASE WHEN id IN ({ids(good)}) THEN 1.5 ELSE 1 END
-            * CASE WHEN id IN ({ids(bad)}) THEN 0.5 ELSE 1 END AS score FROM e),
+            * CASE WHEN id IN ({ids(bad)}) THEN 0.5 ELSE 1 END AS score FROM f),
           h AS (SELECT *, {ORDER} AS rank FROM g)
           SELECT query_id, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(rank AS INT) AS rank FROM h WHERE rank <= 5""",
     )
