@@ -255,7 +255,7 @@ def entries():
     def answered(spark, sf):
         out = n.answer_questions(short_questions(spark, sf), "question", labelled(spark, sf), AS_OF)
         return rounded(
-            out, *[f"{a}_{m}" for a in ("average", "sum", "max", "min") for m in n.MEASURES], digits=4
+            out, *[f"{a}_{m}" for a in ("average", "sum", "max", "min") for m in n.MEASURES], digits=7
         )
 
     fp = FILTER_QUESTION_PATTERNS
@@ -265,8 +265,8 @@ def entries():
         f"list_transform(regexp_extract_all(question, {_s(fp[k])}, 1), lambda x: {mapped}[lower(x)])"
     )
     sums = ", ".join(
-        f"round(avg({m}), 4) AS average_{m}, round(coalesce(sum({m}), 0), 4) AS sum_{m}, "
-        f"round(max({m}), 4) AS max_{m}, round(min({m}), 4) AS min_{m}"
+        f"round(avg({m}), 7) AS average_{m}, round(coalesce(sum({m}), 0), 7) AS sum_{m}, "
+        f"round(max({m}), 7) AS max_{m}, round(min({m}), 7) AS min_{m}"
         for m in n.MEASURES
     )
     q["l9_answer_questions"] = (
