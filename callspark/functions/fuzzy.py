@@ -24,13 +24,23 @@ def ratio(a: str, b: str) -> int:
 
 def letter_counts(texts: list[str]) -> np.ndarray:
     """Letters per bucket; two letters may share one, which only raises the bound."""
-    out = np.zeros((len(texts), BUCKETS), dtype=np.int32)
+    # A word of more than 255 letters is too long for any keyword, so a byte is enough.
+    out = np.zeros((len(texts), BUCKETS), dtype=np.uint8)
     for row, text in enumerate(texts):
-        for c in text:
+        for c in text[:255]:
             out[row, ord(c) % BUCKETS] += 1
     return out
 
 
+def windows(ids: np.ndarray, start: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of n word numbers, and for every start the number of its window."""
+    code = ids[start]
+    for j in range(1, n):
+        code = np.unique(code * size + ids[start + j], return_inverse=True)[1].reshape(-1)
+    _, first, place = np.unique(code, return_index=True, return_inverse=True)
+    return np.stack([ids[start[first] + j] for j in range(n)], axis=1), place.reshape(-1)
+
+
 def near_matches(texts: list[str], keywords: list[str], percent: float) -> list[set[str]]:
     """Per text the keywords that a word, or a window of as many words, comes close to."""
     found: list[set[str]] = [set() for _ in texts]
@@ -47,16 +57,15 @@ def near_matches(texts: list[str], keywords: list[str], percent: float) -> list[
         if not len(start):
             continue
         start = start[owner[start] == owner[start + n - 1]]
-        grams, place = np.unique(
-            np.stack([ids[start + j] for j in range(n)], axis=1), axis=0, return_inverse=True
-        )
-        place = place.reshape(-1)
+        if not len(start):
+            continue
+        grams, place = windows(ids, start, n, len(vocabulary))
         gram_length = lengths[grams].sum(axis=1) + n - 1
         for k in (k for k in keywords if len(k.split()) == n):
             form = k.lower()
             need = (percent - 0.5) / 100 * (gram_length + len(form)) / 2
             fits = np.flatnonzero(np.minimum(gram_length, len(form)) >= need)
-            letters = counts[grams[fits]].sum(axis=1)
+            letters = sum(counts[grams[fits, j]].astype(np.uint16) for j in range(n))
             letters[:, ord(" ") % BUCKETS] += n - 1
             shared = np.minimum(letters, letter_counts([form])).sum(axis=1)
             hits = [

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than cores.
+
+    A large table has more splits than that and is returned as it is. Only for a plain
+    scan: asking another plan for its partitions would run its shuffles.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 HOT_ROWS = 1_000_000
 SALTS = 64
 

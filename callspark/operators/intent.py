@@ -301,7 +301,7 @@ def question_filters(text: Column, as_of: datetime) -> Column:
 
 
 def _matches(f: Column) -> Column:
-    """The filter struct of one question against the call of the current row."""
+    """The filter struct of one question of the call's type against the current row."""
 
     def low(bound: Column, column: str) -> Column:
         return bound.isNull() | F.coalesce(F.col(column) >= bound, F.lit(False))
@@ -313,11 +313,10 @@ def _matches(f: Column) -> Column:
         return (F.size(values) == 0) | F.coalesce(F.array_contains(values, F.col(column)), F.lit(False))
 
     return (
-        low(f["start"], "timestamp")
-        & high(f["end"], "timestamp")
-        & one_of(f["types"], "call_type")
-        & one_of(f["outcomes"], "outcome")
+        one_of(f["outcomes"], "outcome")
         & one_of(f["agents"], "agent_id")
+        & low(f["start"], "timestamp")
+        & high(f["end"], "timestamp")
         & low(f["min_duration"], "duration")
         & high(f["max_duration"], "duration")
         & low(f["min_amount"], "revenue")
@@ -326,6 +325,7 @@ def _matches(f: Column) -> Column:
 
 
 BLOCK = 500
+ANY_TYPE = "*"
 MEASURES = ["duration", "revenue"]
 
 
@@ -334,10 +334,11 @@ def answer_questions(
 ) -> DataFrame:
     """One row per distinct question: askers, matching calls and their aggregates.
 
-    Questions with the same text are answered once. The filters of a block of at most
-    ``block`` questions are one array value, which each call is tested against; only
-    matching (question, call) pairs exist, and they are combined before the shuffle.
-    More questions than a block mean one more pass over the calls per block.
+    Questions with the same text are answered once. The filters of a block of about
+    ``block`` questions are one map value by call type; a call is tested against the
+    questions of its type and those that name none. Only matching (question, call) pairs
+    exist, and they are combined before the shuffle. More questions than a block mean one
+    more pass over the calls per block.
     """
     distinct = (
         questions.where(F.col(text).isNotNull())
@@ -353,10 +354,24 @@ def answer_questions(
     parts = []
     for i in range(blocks):
         mine = distinct.where(number == i)
-        filters_ = mine.agg(F.collect_list(F.struct("question", "f"))).scalar()
-        hits = used.withColumn("all", filters_).select(
-            F.explode(F.filter("all", lambda q: _matches(q["f"]))["question"]).alias("question"),
-            *MEASURES,
+        types = F.when(F.size("f.types") > 0, F.col("f.types")).otherwise(F.array(F.lit(ANY_TYPE)))
+        by_type = (
+            mine.select(F.explode(types).alias("type"), F.struct("question", "f").alias("q"))
+            .groupBy("type")
+            .agg(F.collect_list("q").alias("qs"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("type", "qs"))))
+        )
+        asked = F.flatten(
+            F.array_compact(
+                F.array(
+                    F.try_element_at("by_type", F.lit(ANY_TYPE)),
+                    F.try_element_at("by_type", F.coalesce("call_type", F.lit(""))),
+                )
+            )
+        )
+        matching = F.filter(asked, lambda q: _matches(q["f"]))
+        hits = used.withColumn("by_type", by_type.scalar()).select(
+            F.explode(F.transform(matching, lambda q: q["question"])).alias("question"), *MEASURES
         )
         totals = [F.count(F.lit(1)).alias("calls")]
         for m in MEASURES:

@@ -54,9 +54,9 @@ def clean_text(
 
 def keyword_words(text: Column, min_length: int = 3) -> Column:
     """Cleaned lower-case words of some length that are no stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     tokens = words(clean_text(text, punctuation=True, lowercase=True))
-    return F.filter(tokens, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))
+    # A long literal list is tested as a hash set.
+    return F.filter(tokens, lambda w: (F.length(w) >= min_length) & ~w.isin(STOP_WORDS))
 
 
 def keywords(df: DataFrame, key: str, text: str, top_k: int = 10, min_length: int = 3) -> DataFrame:
@@ -265,7 +265,7 @@ def assemble_transcripts(
         ).alias("s"),
     ).where(F.col("s.text") != "")
     gathered = trimmed.groupBy(key, "part").agg(
-        F.array_sort(F.collect_list("s")).alias("segments"),
+        F.sort_array(F.collect_list("s")).alias("segments"),
         F.avg("s.confidence").alias("confidence"),
     )
     return gathered.select(

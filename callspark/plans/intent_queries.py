@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import FILTER_QUESTION_PATTERNS, MONTHS
 from ..functions.fixed_values import QUESTION_PATTERNS as P
+from ..functions.skew import spread_scan
 from ..operators import intent as n
 from .rounding import rounded
 from .views import EVENT_CALLS_SQL, event_calls, table
@@ -44,7 +45,7 @@ def _sql_pick(number, values):
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread_scan(table(spark, sf_dir, "events"))
     i, u = F.col("event_id"), F.col("user_id")
     return e.select(
         "event_id",
@@ -71,7 +72,7 @@ QUESTIONS_SQL = f"""questions AS (SELECT event_id, concat_ws(' ', {_sql_pick('ev
 
 def short_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u = F.col("event_id"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
+    return spread_scan(table(spark, sf_dir, "events")).select(
         F.concat_ws(
             " ", F.lit("calls"), _pick(u, [*TYPES, ""]), _pick(i, SHORT_RESULTS), _pick(u, SHORT_TIMES),
             _pick(i, LIMITS),
@@ -248,7 +249,7 @@ def entries():
 
     def labelled(spark, sf):
         number = F.col("call_id").cast("bigint")
-        return event_calls(spark, sf).withColumn("call_type", _pick(number, KINDS)).withColumn(
+        return spread_scan(event_calls(spark, sf)).withColumn("call_type", _pick(number, KINDS)).withColumn(
             "outcome", _pick(F.floor(number / 3), ENDS)
         )
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.skew import spread_scan
+
 CAMPAIGNS = ["sales", "support", "billing", "retention", "survey"]
 OUTCOMES = ["connected", "no_answer", "voicemail", "busy", "failed"]
 EVENT_OUTCOME = {
@@ -20,8 +22,13 @@ EVENT_OUTCOME = {
 }
 
 
+# Tables whose rows cost much work each, so that one file must not mean one task.
+HEAVY = {"documents", "pages", "conversations", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(scan) if name in HEAVY else scan
 
 
 def _pick(number: Column, names: list[str]) -> Column:
