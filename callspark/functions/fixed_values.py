@@ -39,29 +39,30 @@ URL_FORM = (
 )
 ID_FORM = r"^[a-zA-Z0-9_-]+$"
 
-# Timestamp formats of the import, tried in this order.
+# Timestamp formats of the import, tried in this order. A single letter
+# takes one or two digits.
 IMPORT_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "yyyy-M-d H:m:s",
+    "yyyy-M-d",
+    "M/d/yyyy H:m:s",
+    "M/d/yyyy",
+    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d'T'H:m:s'Z'",
 ]
 
 # Timestamp formats of the flexible parse, tried in this order.
 FLEXIBLE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm:ss",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
+    "yyyy-M-d H:m:s",
+    "yyyy/M/d H:m:s",
+    "M/d/yyyy H:m:s",
+    "d/M/yyyy H:m:s",
+    "yyyy-M-d",
+    "M/d/yyyy",
+    "d/M/yyyy",
     "yyyyMMdd",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d'T'H:m:s'Z'",
+    "yyyy-M-d'T'H:m:s.SSSSSS",
 ]
 
 # Header patterns used when no field table is given, first header hit wins.

@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_values import FLEXIBLE_FORMATS, IMPORT_FORMATS, OTHER_PHONE_FORM, US_PHONE_FORM
 
 
+def try_format(text: Column, fmt: str) -> Column:
+    """Timestamp of a text in a format, else null.
+
+    A failed parse costs an exception inside Spark, so the digits are tested first.
+    """
+    digits_of = {"yyyy": r"\d{4}", "SSSSSS": r"\d{6}"}
+    shape = ""
+    for match in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", fmt):
+        token = match.group(0)
+        if token.startswith("'"):
+            shape += re.escape(token.strip("'"))
+        elif match.group(1):
+            shape += digits_of.get(token, r"\d{1,2}" if len(token) == 1 else rf"\d{{{len(token)}}}")
+        else:
+            shape += re.escape(token)
+    return F.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(fmt)))
+
+
 def import_timestamp(text: Column, formats: list[str] = IMPORT_FORMATS) -> Column:
     """First import format that fits the row, else Spark's own timestamp syntax."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+    tries = [try_format(text, f) for f in formats]
     return F.coalesce(*tries, F.try_to_timestamp(text))
 
 
 def flexible_timestamp(text: Column, fmt: str | None = None, zone: str | None = None) -> Column:
     """First flexible format that fits; ``zone`` says where the clock reading was taken."""
     formats = [fmt] if fmt else FLEXIBLE_FORMATS
-    value = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    value = F.coalesce(*[try_format(text, f) for f in formats])
     return F.to_utc_timestamp(value, zone) if zone else value
 
 

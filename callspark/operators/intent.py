@@ -118,16 +118,20 @@ def time_range(text: Column, as_of: datetime) -> Column:
         return F.when(_has(text, name), span)
 
     def day(name: str, y: int, m: int, d: int) -> Column:
+        dash = F.lit("-")
         parts = [_group(text, name, g) for g in (y, m, d)]
-        start = F.try_to_timestamp(F.concat_ws("-", *parts), F.lit("yyyy-M-d")).cast(NTZ)
-        whole = _span(start, start + F.expr("interval '0 23:59:59.999999' day to second"))
-        return F.when(_has(text, name) & start.isNotNull(), whole)
+        # A part that is absent makes the whole text null, so nothing is parsed in vain.
+        start = F.try_to_timestamp(F.concat(parts[0], dash, parts[1], dash, parts[2]), F.lit("yyyy-M-d"))
+        length = F.expr("interval '0 23:59:59.999999' day to second")
+        return let(start.cast(NTZ), lambda s: F.when(s.isNotNull(), _span(s, s + length)))
 
     def months(year: Column, number: Column) -> Column:
-        text_of = F.concat_ws("-", year, number.cast("string"), F.lit("1"))
+        text_of = F.concat(year, F.lit("-"), number.cast("string"), F.lit("-1"))
         start = F.try_to_timestamp(text_of, F.lit("yyyy-M-d")).cast(NTZ)
-        end = F.add_months(start, 1).cast(NTZ) - F.expr("interval '0.000001' second")
-        return F.when(year.isNotNull() & start.isNotNull(), _span(start, end))
+        moment = F.expr("interval '0.000001' second")
+        return let(
+            start, lambda s: F.when(s.isNotNull(), _span(s, F.add_months(s, 1).cast(NTZ) - moment))
+        )
 
     named = "(?U)\\b(" + "|".join(MONTHS) + ")\\b\\s*(\\d{4})"
     number_of = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])

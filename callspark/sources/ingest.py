@@ -19,7 +19,7 @@ from ..functions.fixed_values import (
     IMPORT_FORMATS,
     OPTIONAL_COLUMNS,
 )
-from ..functions.parsing import digits, duration_seconds, import_timestamp
+from ..functions.parsing import digits, duration_seconds, import_timestamp, try_format
 from ..functions.text import strip
 from ..schema import REQUIRED, MissingColumns
 
@@ -172,7 +172,7 @@ def parse_dates(df: DataFrame, whole_column: bool = False) -> DataFrame:
     for name in names:
         value = import_timestamp(F.col(name))
         if whole_column:
-            tries = [F.try_to_timestamp(F.col(name), F.lit(f)) for f in IMPORT_FORMATS]
+            tries = [try_format(F.col(name), f) for f in IMPORT_FORMATS]
             fails = df.agg(
                 *[F.count_if(F.col(name).isNotNull() & t.isNull()).alias(str(i)) for i, t in enumerate(tries)]
             ).first()
