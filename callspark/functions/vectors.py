@@ -105,38 +105,94 @@ def scored(
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_per_query(
+    names: list[str], batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int, above: float = -np.inf
+) -> Iterator[pd.DataFrame]:
+    """The k best (query_id, id, score) per query over batches of (ids, scores[query, row])."""
+    best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(names)
+    for ids, scores in batches:
+        for q in range(len(names)):
+            i, s = ids, scores[q]
+            if above > -np.inf:
+                i, s = i[s > above], s[s > above]
+            top = _top(i, s, k)
+            i, s = i[top], s[top]
+            if best[q] is not None:
+                i, s = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], s])
+                top = _top(i, s, k)
+                i, s = i[top], s[top]
+            best[q] = (i, s)
+    for name, found in zip(names, best):
+        if found is not None and len(found[0]):
+            yield pd.DataFrame({"query_id": name, "id": found[0], "score": found[1]})
+
+
 def _task(shared, k: int | None, metric: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix = shared.value
         if not names:
             return
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(names)
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["id"].to_numpy(dtype=object)
-            block = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            # Rounding makes equal vectors tie, whatever batch they are in.
-            scores = np.round(_scores(block, matrix, metric), 12)
-            if k is None:
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(np.array(names, dtype=object), len(ids)),
-                        "id": np.tile(ids, len(names)),
-                        "score": scores.reshape(-1),
-                    }
-                )
-                continue
-            for q in range(len(names)):
-                top = _top(ids, scores[q], k)
-                i, s = ids[top], scores[q][top]
-                if best[q] is not None:
-                    i, s = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], s])
-                    top = _top(i, s, k)
-                    i, s = i[top], s[top]
-                best[q] = (i, s)
-        for name, found in zip(names, best):
-            if found is not None:
-                yield pd.DataFrame({"query_id": name, "id": found[0], "score": found[1]})
+
+        def compared() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                if not batch.empty:
+                    block = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+                    # Rounding makes equal vectors tie, whatever batch they are in.
+                    scores = np.round(_scores(block, matrix, metric), 12)
+                    yield batch["id"].to_numpy(dtype=object), scores
+
+        if k is not None:
+            yield from best_per_query(names, compared(), k)
+            return
+        for ids, scores in compared():
+            yield pd.DataFrame(
+                {
+                    "query_id": np.repeat(np.array(names, dtype=object), len(ids)),
+                    "id": np.tile(ids, len(names)),
+                    "score": scores.reshape(-1),
+                }
+            )
+
+    return run
+
+
+def words_found(
+    corpus: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK
+) -> DataFrame:
+    """(query_id, id, score) of the documents with query words as substrings, k per task.
+
+    ``queries`` has query_id and words, ``corpus`` id and a lower-case document. Each
+    distinct word of a block is looked for once per document; the substring search runs
+    in Python because it is many times faster there than ``contains`` in the JVM.
+    """
+    spark = corpus.sparkSession
+    n_blocks = max(1, -(-queries.count() // block))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    parts = None
+    for i in range(n_blocks):
+        rows = queries.where(number == i).collect()
+        shared = spark.sparkContext.broadcast([(r["query_id"], r["words"]) for r in rows if r["words"]])
+        part = corpus.mapInPandas(_word_task(shared, k), "query_id string, id string, score double")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def _word_task(shared, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = shared.value
+        vocabulary = list(dict.fromkeys(w for _, ws in wanted for w in ws))
+        place = {w: i for i, w in enumerate(vocabulary)}
+        at = [np.array([place[w] for w in ws]) for _, ws in wanted]
+
+        def compared() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                if not batch.empty:
+                    texts = list(batch["document"].fillna(""))
+                    found = np.array([[w in t for t in texts] for w in vocabulary], dtype=bool)
+                    scores = np.array([found[p].sum(axis=0) / len(p) for p in at])
+                    yield batch["id"].to_numpy(dtype=object), scores
+
+        if wanted:
+            yield from best_per_query([name for name, _ in wanted], compared(), k, above=0.0)
 
     return run

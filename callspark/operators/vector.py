@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..functions.formats import fixed
 from ..functions.skew import join_per_key
 from ..functions.text import collapse, last_position, let, share, strip, words
-from ..functions.vectors import scored
+from ..functions.vectors import scored, words_found
 from .filters import in_list
 
 METADATA = ["call_id", "agent_id", "campaign", "call_type", "outcome", "timestamp", "duration"]
@@ -160,50 +160,15 @@ def substring_share(query_words: Column, document: Column) -> Column:
     return let(F.struct(query_words.alias("q"), F.lower(document).alias("d")), inside)
 
 
-def keyword_search(corpus: DataFrame, queries: DataFrame, k: int, block: int = 500) -> DataFrame:
+def keyword_search(corpus: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): share of the query words found as substrings.
 
-    A block of queries is one value: its distinct words, and per query the places of its
-    words in that list. A document looks for each distinct word once and then counts per
-    query. Documents without a hit leave nothing, and every task keeps its best k per
-    query before the shuffle.
+    Documents without a hit leave nothing, and every task keeps its best k per query, so
+    what is shuffled is small.
     """
-    wanted = queries.select(F.col("query_id").cast("string"), _query_words(F.col("query")).alias("q"))
-    n_blocks = max(1, -(-wanted.count() // block))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    documents = corpus.select(F.col("id").cast("string").alias("id"), "document")
-    parts = None
-    for i in range(n_blocks):
-        mine = wanted.where(number == i).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-        mine = mine.withColumn("words", F.array_distinct(F.flatten(F.col("queries.q"))))
-        block_of = mine.select(F.struct("words", F.transform("queries", _places).alias("queries"))).scalar()
-        pairs = documents.withColumn("block", block_of).select("id", F.explode(_word_hits()).alias("h"))
-        part = pairs.select("h.query_id", "id", "h.score").where("score > 0")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _places(x: Column) -> Column:
-    at = F.transform(x["q"], lambda w: F.array_position(F.col("words"), w).cast("int") - 1)
-    return F.struct(x["query_id"].alias("query_id"), at.alias("at"))
-
-
-def _word_hits() -> Column:
-    block = F.col("block")
-
-    def per_query(hit: Column) -> Column:
-        def one(x: Column) -> Column:
-            found = F.size(F.filter(x["at"], lambda i: F.get(hit, i)))
-            return F.struct(x["query_id"].alias("query_id"), share(found, F.size(x["at"])).alias("score"))
-
-        return F.filter(F.transform(block["queries"], one), lambda h: h["score"] > 0)
-
-    # Both intermediate values are bound once per document.
-    found = let(
-        F.lower("document"), lambda d: F.transform(block["words"], lambda w: F.contains(d, w))
-    )
-    return let(found, per_query)
+    wanted = queries.select(F.col("query_id").cast("string"), _query_words(F.col("query")).alias("words"))
+    documents = corpus.select(F.col("id").cast("string").alias("id"), F.lower("document").alias("document"))
+    return _best_per_query(words_found(documents, wanted, k, block), "score", k)
 
 
 def combine_hits(semantic: DataFrame, keyword: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
