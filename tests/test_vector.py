@@ -163,8 +163,12 @@ def test_retrieve_reranks_only_where_more_than_k_remain(spark, corpus):
 
 
 def test_feedback_and_neighbours(spark, corpus):
-    got = v.retrieve_with_feedback(corpus, queries_of(spark, 1), AS_OF, ["d015"], ["d000"], 5, 0.9).orderBy("rank").collect()
-    assert got[0]["id"] == "d015"
+    q = queries_of(spark, 1)
+    base = v.retrieve(corpus, q, AS_OF, 10, min_similarity=0.9).orderBy("rank").collect()
+    good, bad = base[-1], base[0]
+    got = v.retrieve_with_feedback(corpus, q, AS_OF, [good["id"]], [bad["id"]], 5, 0.9).orderBy("rank").collect()
+    assert got[0]["id"] == good["id"] and got[0]["score"] == pytest.approx(good["score"] * 1.5)
+    assert [r["id"] for r in got[1:]] == [r["id"] for r in base[1:5]]
     near = v.neighbours(corpus, corpus.where("id = 'd000'"), 3).orderBy("rank").collect()
     assert [r["id"] for r in near] == ["d003", "d006", "d009"]
 
