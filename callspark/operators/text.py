@@ -248,13 +248,13 @@ def assemble_transcripts(
 ) -> DataFrame:
     """Transcript, mean confidence and segment list per call, in time order.
 
-    ``number`` counts the segments of a call. A call is cut into parts of
-    ``part_segments`` numbers, so that no group is larger than that; a call within the
-    limit has the single part 0, a longer one continues in parts 1, 2, ...
+    ``number`` counts the segments of a call; without it the start second is used. A call
+    is cut into parts of ``part_segments`` numbers, so that no group is unbounded; a call
+    within the limit has the single part 0, a longer one continues in parts 1, 2, ...
     """
     value = F.col(confidence) if confidence else F.lit(0.95)
     # Fixed value: 0.95 is the confidence of a segment that carries none.
-    part = F.floor(F.col(number) / part_segments) if number else F.lit(0)
+    part = F.floor(F.col(number or start) / part_segments)
     trimmed = segments.select(
         key,
         part.cast("bigint").alias("part"),

@@ -270,7 +270,11 @@ def transcript_records(
     the transcript. Neither side has to be small: the join is on the file name.
     """
     zero_is_none = lambda c: F.nullif(c, F.lit(0.0))
-    m = metadata.select(*[F.col(c).alias(f"m_{c}") for c in metadata.columns])
+    # A file named twice keeps its last metadata row, where the rows carry their order.
+    order = [F.col(c) for c in SEQUENCE if c in metadata.columns] or [F.lit(0)]
+    rest = [c for c in metadata.columns if c != "file_key" and c not in SEQUENCE]
+    one = metadata.groupBy("file_key").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    m = one.select(F.col("file_key").alias("m_file_key"), *[F.col(f"r.{c}").alias(f"m_{c}") for c in rest])
     joined = transcripts.join(m, F.lower(transcripts["file"]) == F.col("m_file_key"), "left")
 
     def of(name: str) -> Column:
