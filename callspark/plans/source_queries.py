@@ -141,18 +141,20 @@ def entries():
     )
 
     def two_imports(c):
+        """A table without the busy calls, and an import of the inbound ones that repeats
+        the sales calls with a correction and has no agent for the survey."""
         i = F.col("call_id").cast("bigint")
-        old = c.where(i % 3 != 0).withColumn("batch_seq", F.lit(1)).withColumn("row_seq", i)
-        again = c.where(i % 2 == 0).withColumn("batch_seq", F.lit(2)).withColumn("revenue", F.col("revenue") + 1)
-        new = again.withColumn("row_seq", i).unionByName(
-            again.where(i % 4 == 0).withColumn("row_seq", i + 10**9).withColumn("outcome", F.lit("corrected"))
-        ).withColumn("agent_id", F.when(i % 10 != 0, F.col("agent_id")))
-        return old, new
-
-    upserted = """, b AS (SELECT *, CAST(call_id AS BIGINT) AS i FROM calls)
-      SELECT call_id, CASE WHEN i % 4 = 0 THEN 'corrected' ELSE outcome END AS outcome,
-        CASE WHEN i % 2 = 0 THEN revenue + 1 ELSE revenue END AS revenue,
-        CASE WHEN i % 2 = 0 AND i % 10 = 0 THEN NULL ELSE agent_id END AS agent_id FROM b WHERE i % 3 <> 0 OR i % 2 = 0"""
+        old = c.where("outcome <> 'busy'").withColumn("batch_seq", F.lit(1)).withColumn("row_seq", i)
+        again = c.where("call_type = 'inbound'").withColumn("batch_seq", F.lit(2)).withColumn("revenue", F.col("revenue") + 1)
+        fixed = again.where("campaign = 'sales'").withColumn("row_seq", i + 10**15).withColumn("outcome", F.lit("corrected"))
+        new = again.withColumn("row_seq", i).unionByName(fixed)
+        return old, new.withColumn("agent_id", F.when(F.col("campaign") != "survey", F.col("agent_id")))
+
+    upserted = """ SELECT call_id,
+        CASE WHEN call_type = 'inbound' AND campaign = 'sales' THEN 'corrected' ELSE outcome END AS outcome,
+        CASE WHEN call_type = 'inbound' THEN revenue + 1 ELSE revenue END AS revenue,
+        CASE WHEN call_type = 'inbound' AND campaign = 'survey' THEN NULL ELSE agent_id END AS agent_id
+      FROM calls WHERE outcome <> 'busy' OR call_type = 'inbound'"""
     calls(
         "k2_upsert",
         lambda c: st.upsert(*two_imports(c), "call_id", ["batch_seq", "row_seq"]).select("call_id", "outcome", "revenue", "agent_id"),
@@ -168,7 +170,7 @@ def entries():
     calls(
         "k2_rows_added",
         lambda c: st.rows_added(*two_imports(c), "call_id"),
-        " SELECT count(*) AS rows_added FROM calls WHERE CAST(call_id AS BIGINT) % 6 = 0",
+        " SELECT count(*) AS rows_added FROM calls WHERE outcome = 'busy' AND call_type = 'inbound'",
     )
 
     def snapshot(spark, sf):
@@ -491,7 +493,7 @@ def entries():
     def corrected(spark, sf):
         root, state = new_folder(spark, "stream"), new_folder(spark, "state")
         first, late = write_csv(spark, sf), new_folder(spark, "csv")
-        fix = raw_calls(spark, sf).where(i() % 2 == 0).withColumn("outcome", F.lit("corrected"))
+        fix = raw_calls(spark, sf).where("call_type = 'inbound'").withColumn("outcome", F.lit("corrected"))
         headed(fix).write.option("header", True).option("escape", '"').csv(late)
         names = list(HEADERS.values())
         stream.import_stream(stream.stream_csv(spark, first, names), root, f"{state}/a").awaitTermination()
@@ -503,8 +505,8 @@ def entries():
     add(
         "r2_stream_last_write_wins",
         lambda spark, sf: corrected(spark, sf).select("call_id", "outcome", (F.col("batch_seq") >= 1000).alias("late")),
-        RAW_SQL + """ SELECT call_id, CASE WHEN i % 2 = 0 THEN 'corrected' WHEN i % 5 <> 0 THEN outcome ELSE 'unknown' END
-          AS outcome, i % 2 = 0 AS late FROM raw""",
+        RAW_SQL + """ SELECT call_id, CASE WHEN call_type = 'inbound' THEN 'corrected' WHEN i % 5 <> 0 THEN outcome ELSE 'unknown' END
+          AS outcome, call_type = 'inbound' AS late FROM raw""",
     )
     window_sql = """ SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H:%M:%S') AS window_start, agent_id,
         count(call_id) AS calls, count(*) FILTER (WHERE outcome = 'connected') AS connected_calls,

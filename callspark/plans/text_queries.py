@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions.fixed_values import ENTITY_PATTERNS, MASKS, STOP_WORDS
-from ..functions.text import similarity
 from ..operators import text as t
 from ..operators.compare import compare_groups
 from .rounding import rounded
