@@ -97,8 +97,9 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
     Groups of about ``group_docs`` rows of a source are rounded; what each leaves open goes on
     to the next level of the tree, until a source has one open row, which is drawn by its p. A
     source with more rows has more groups and, per factor ``group_docs``, one more level, so no
-    source is held by one task. The sum of size * up differs from the sum of size * p by less
-    than one row's size. Repeated rows are rounded like others.
+    source is held by one task. Within a group large rows come first, so that what stays open
+    is small if the group has small rows. The sum of size * up differs from the sum of size * p
+    by less than one row's size. Repeated rows are rounded like others.
     """
     spark = parts.sparkSession
     kind = "source string, id bigint, h bigint, size bigint, p double"
@@ -111,7 +112,7 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
         else:
             count = -(-n // group_docs)
             groups = todo.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "id", "h", "size"), F.lit(count)))
-        rows = F.array_sort(F.collect_list(F.struct(_uniform(F.lit(seed - 1 - level), "id", "h").alias("u"), "id", "h", "size", "p")))
+        rows = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("large_first"), _uniform(F.lit(seed - 1 - level), F.col("id"), F.col("h")).alias("u"), "id", "h", "size", "p")))
         items = F.transform(rows, lambda x: F.struct(x["id"].alias("id"), x["h"].alias("h"), x["size"].alias("size"), x["p"].alias("p")))
         folded = written(
             groups.groupBy("source", "group").agg(items.alias("items")).select("source", _fold(F.col("items"), seed + level).alias("state")), "mix"
@@ -119,7 +120,7 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
         decided = decided.unionByName(folded.select("source", F.explode("state.done").alias("x")).select("source", "x.*"))
         todo = folded.where(F.col("state.open").isNotNull()).select("source", "state.open.*")
         if last:
-            drawn = F.when(_uniform(F.lit(seed + 77), "id", "h") < F.col("p"), 1.0).otherwise(0.0)
+            drawn = F.when(_uniform(F.lit(seed + 77), F.col("id"), F.col("h")) < F.col("p"), 1.0).otherwise(0.0)
             decided = decided.unionByName(todo.withColumn("p", drawn))
             break
         n, level = todo.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, level + 1
