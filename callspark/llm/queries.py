@@ -7,20 +7,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from . import html_text, mixing, packing, token_files, topk, toxicity
-from .batches import table
+from . import cap_filters, cotraining, html_text, jaccard, mixing, packing, suffix_dedup, token_files, topk, toxicity
+from .batches import table, text_hash
 
 VOCABULARY = "byte_bpe_50k.json"
 WEIGHTS = [5, 2, 1]
 WINDOW = 2048
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    whole = docs.select("doc_id", text_hash().alias("tag"), F.length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha256"))
+    cut = suffix_dedup.removed_repeats(docs).select(
+        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256")
+    )
+    return whole.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("cut_sha256", "sha256").alias("kept_sha256"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = ["lang", "source", "n_chars"]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *meta)
+    labels = table(spark, sf_dir, "labels").where(toxicity.training_half())
+    scored = cotraining.score(docs, cotraining.fit(docs, labels, "quality", meta), meta)
+    return scored.select(
+        "doc_id",
+        (~toxicity.training_half()).alias("held_out"),
+        "text_score",
+        "meta_score",
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = token_files.with_token_ids(docs, public_tokenizers.path(VOCABULARY), end_id=2)
     path = new_folder(spark, "token-files")
     files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    token_files.write_token_files(ids, path, ["doc_id"], files)
+    token_files.write_token_files(docs, public_tokenizers.path(VOCABULARY), path, ["doc_id"], files, end_id=2)
     back = token_files.read_token_files(spark, path)
     return token_files.digests(back, ["doc_id"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -44,6 +78,11 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.groups_of(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(toxicity.training_half())
@@ -78,10 +117,14 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 QUERIES = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
+    "op2_quality": (op2_quality, None),
+    "op3_cap_filters": (op3_cap_filters, None),
     "op4_token_files": (op4_token_files, None),
     "op5_mix": (op5_mix, None),
     "op6_top_k": (op6_top_k, TOP_K_SQL),
     "op7_pack": (op7_pack, None),
+    "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_main_text": (op10_main_text, None),
 }
