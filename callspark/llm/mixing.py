@@ -95,11 +95,11 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
     """Decide rows (source, id, h, size > 0, p strictly between 0 and 1): adds ``up``, 0 or 1.
 
     Groups of about ``group_docs`` rows of a source are rounded; what each leaves open goes on
-    to the next level of the tree, until a source has one open row, which is drawn by its p. A
+    to the next level of the tree, until a source has one open row, which is rounded. A
     source with more rows has more groups and, per factor ``group_docs``, one more level, so no
     source is held by one task. Within a group large rows come first, so that what stays open
     is small if the group has small rows. The sum of size * up differs from the sum of size * p
-    by less than one row's size. Repeated rows are rounded like others.
+    by half a row's size at most. Repeated rows are rounded like others.
     """
     spark = parts.sparkSession
     kind = "source string, id bigint, h bigint, size bigint, p double"
@@ -120,8 +120,7 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
         decided = decided.unionByName(folded.select("source", F.explode("state.done").alias("x")).select("source", "x.*"))
         todo = folded.where(F.col("state.open").isNotNull()).select("source", "state.open.*")
         if last:
-            drawn = F.when(_uniform(F.lit(seed + 77), F.col("id"), F.col("h")) < F.col("p"), 1.0).otherwise(0.0)
-            decided = decided.unionByName(todo.withColumn("p", drawn))
+            decided = decided.unionByName(todo.withColumn("p", F.round("p")))
             break
         n, level = todo.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, level + 1
     return decided.select("source", "id", "h", "size", F.col("p").cast("int").alias("up"))

@@ -49,18 +49,20 @@ def with_token_ids(docs: DataFrame, path: str, end_id: int | None, text: str = "
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
-def write_token_files(ids: DataFrame, path: str, order: list[str], files: int, bloom: str | None = None) -> None:
-    """Write rows of token ids as ``files`` ORC files in the order of ``order``.
-
-    The rows are dealt by ranges of the order (nulls first), so file number ``file_no`` holds
-    what comes before all of the next file. ORC codes the ids by integer run-length encoding;
-    stripes can be read in parallel, row indexes and Bloom filters on the ``bloom`` column
-    (the first of the order) let a reader skip stripes that do not hold a wanted document.
+def write_token_files(
+    docs: DataFrame, vocabulary: str, path: str, order: list[str], files: int, end_id: int | None, text: str = "text", bloom: str | None = None
+) -> None:
+    """Write the token ids of ``docs`` as ``files`` ORC files in the order of ``order``.
+
+    The rows are dealt by ranges of the order (nulls first) before they are encoded, so a text
+    is encoded once, and file number ``file_no`` holds what comes before all of the next file.
+    ORC codes the ids by integer run-length encoding; stripes can be read in parallel, row
+    indexes and Bloom filters on the ``bloom`` column (the first of the order) let a reader
+    skip stripes that do not hold a wanted document.
     """
+    dealt = docs.repartitionByRange(files, *order).withColumn("file_no", F.spark_partition_id()).sortWithinPartitions(*order)
     (
-        ids.repartitionByRange(files, *order)
-        .withColumn("file_no", F.spark_partition_id())
-        .sortWithinPartitions(*order)
+        with_token_ids(dealt, vocabulary, end_id, text)
         .write.option("orc.bloom.filter.columns", bloom or order[0])
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
