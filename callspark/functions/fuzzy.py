@@ -24,10 +24,9 @@ def ratio(a: str, b: str) -> int:
 
 def letter_counts(texts: list[str]) -> np.ndarray:
     """Letters per bucket; two letters may share one, which only raises the bound."""
-    # A word of more than 255 letters is too long for any keyword, so a byte is enough.
-    out = np.zeros((len(texts), BUCKETS), dtype=np.uint8)
+    out = np.zeros((len(texts), BUCKETS), dtype=np.int32)
     for row, text in enumerate(texts):
-        for c in text[:255]:
+        for c in text:
             out[row, ord(c) % BUCKETS] += 1
     return out
 
@@ -65,7 +64,7 @@ def near_matches(texts: list[str], keywords: list[str], percent: float) -> list[
             form = k.lower()
             need = (percent - 0.5) / 100 * (gram_length + len(form)) / 2
             fits = np.flatnonzero(np.minimum(gram_length, len(form)) >= need)
-            letters = sum(counts[grams[fits, j]].astype(np.uint16) for j in range(n))
+            letters = sum(counts[grams[fits, j]] for j in range(n))
             letters[:, ord(" ") % BUCKETS] += n - 1
             shared = np.minimum(letters, letter_counts([form])).sum(axis=1)
             hits = [

@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many distinct values the built-in aggregate holds them in one buffer.
-DIRECT_DISTINCT = 200_000
 STEPS_PER_LOG = 64
 INNER_CELLS = 65_536
 
 
-def percentile_row(
-    df: DataFrame, column: str | Column, percents: list[float], direct_distinct: int = DIRECT_DISTINCT
-) -> DataFrame:
+def percentile_row(df: DataFrame, column: str | Column, percents: list[float]) -> DataFrame:
     """One row p25, p50, ... with linear interpolation; null when there is no value.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one buffer, so
-    it is used only after a count of the distinct values shows that they fit. Otherwise
-    the order statistics are narrowed down with three counting passes.
+    The built-in ``percentile`` keeps every distinct value of a group in one buffer, so the
+    order statistics are narrowed down with three counting passes instead.
     """
     value = F.col(column) if isinstance(column, str) else column
-    x = df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)")
-    distinct = x.agg(F.approx_count_distinct("x")).first()[0]
-    if distinct <= direct_distinct:
-        fractions = F.array(*[F.lit(p / 100) for p in percents])
-        row = x.agg(F.percentile("x", fractions).alias("v"))
-        return row.select(*[F.get("v", F.lit(i)).alias(percentile_name(p)) for i, p in enumerate(percents)])
-    return select_by_counting(x, percents)
+    return select_by_counting(df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)"), percents)
+
+
+def log_cell(x: str) -> Column:
+    """Cell of a value on a grid with 64 cells per unit of ln|x|; infinite values have cells of their own."""
+    finite = F.floor(F.signum(x) * F.log1p(F.abs(x)) * STEPS_PER_LOG)
+    far = 1 << 20
+    return F.when(F.col(x) == float("inf"), far).when(F.col(x) == float("-inf"), -far).otherwise(finite).cast("int")
+
+
+def inner_cell() -> Column:
+    """Part of a cell from ``lo`` to ``hi`` that ``x`` falls in."""
+    share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    return F.when(F.col("hi") > F.col("lo"), F.floor(share * (INNER_CELLS - 1))).otherwise(F.lit(0)).cast("int")
 
 
 def percentile_name(p: float) -> str:
@@ -42,7 +44,7 @@ def select_by_counting(x: DataFrame, percents: list[float]) -> DataFrame:
     parts, pass 3 counts the distinct values of the parts hit. Every pass aggregates
     before the shuffle, so a value that fills a third of the table is one row.
     """
-    grid = F.floor(F.signum("x") * F.log1p(F.abs("x")) * STEPS_PER_LOG).cast("int")
+    grid = log_cell("x")
     cells = x.groupBy(grid.alias("c1")).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
@@ -62,15 +64,12 @@ def select_by_counting(x: DataFrame, percents: list[float]) -> DataFrame:
     hit1 = _keep_hit(cells.withColumn("ranks", F.array(*ranks)), "start", "end")
     hit1 = hit1.select("c1", "lo", "hi", "start", "total", "ranks")
 
-    inner = F.when(
-        F.col("hi") > F.col("lo"),
-        F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (INNER_CELLS - 1)),
-    ).otherwise(F.lit(0))
+    inner = inner_cell()
     # At most two rows per percentile, so the broadcast is bounded by the parameters.
     parts = (
         x.withColumn("c1", grid)
         .join(F.broadcast(hit1), "c1")
-        .groupBy("c1", "start", "total", "ranks", inner.cast("int").alias("c2"), "lo", "hi")
+        .groupBy("c1", "start", "total", "ranks", inner.alias("c2"), "lo", "hi")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     hit2 = _next_hits(parts, ["c1"], "c2").select(
@@ -80,7 +79,7 @@ def select_by_counting(x: DataFrame, percents: list[float]) -> DataFrame:
     values = (
         x.withColumn("c1", grid)
         .join(F.broadcast(hit2), "c1")
-        .where(F.col("c2") == inner.cast("int"))
+        .where(F.col("c2") == inner)
         .groupBy("c1", "c2", "start", "total", "ranks", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -93,7 +92,8 @@ def select_by_counting(x: DataFrame, percents: list[float]) -> DataFrame:
     for p in percents:
         place = (F.col("total") - 1) * F.lit(p / 100)
         low, high = F.col("at")[F.floor(place)], F.col("at")[F.ceil(place)]
-        out.append((low + (high - low) * (place - F.floor(place))).alias(percentile_name(p)))
+        between = low + (high - low) * (place - F.floor(place))
+        out.append(F.when(low == high, low).otherwise(between).alias(percentile_name(p)))
     return table.select(*out)
 
 

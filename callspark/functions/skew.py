@@ -15,39 +15,15 @@ def spread_scan(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-HOT_ROWS = 1_000_000
-SALTS = 64
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a table of rows with an aggregate that has one row per key, or with a part of it.
 
-
-def join_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: list[str],
-    row_id: list[str],
-    how: str = "inner",
-    n_rows: str = "n_rows",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join a table of rows with an aggregate that has one row per key.
-
-    ``per_key`` carries the number of rows per key in ``n_rows``. A key with at least
-    ``hot_rows`` rows is spread over ``salts`` partitions by a hash of ``row_id`` and its
-    one aggregate row is repeated as often. There are at most (rows / hot_rows) such
-    keys, which is what makes their list safe to broadcast.
+    ``how`` is inner, left or left_semi. Adaptive execution cuts partitions of ``rows`` that a
+    hot key makes large and sends each piece the key's one row, as many pieces as their size
+    asks for. Rows with a null key match nothing and stay out of the join.
     """
-    is_hot = F.col(n_rows) >= hot_rows
-    hot = per_key.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(salts))).otherwise(F.lit(0)),
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_keys = per_key.withColumn("_salt", F.explode(copies)).withColumn(
-        "_salt", F.col("_salt").cast("bigint")
-    )
-    return (
-        salted_rows.withColumn("_salt", F.col("_salt").cast("bigint"))
-        .join(salted_keys, [*keys, "_salt"], how)
-        .drop("_salt", "_hot")
-    )
+    null = F.lit(False)
+    for key in keys:
+        null = null | F.col(key).isNull()
+    joined = rows.where(~null).join(per_key, keys, how)
+    return joined.unionByName(rows.where(null), allowMissingColumns=True) if how == "left" else joined

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 DIMENSION = 384
 SEED = 42
 
-# At most this many query vectors travel to the tasks at once.
+# Queries and corpus rows of one matrix product.
 QUERY_BLOCK = 1024
+SHARD_ROWS = 16_384
 
 METRICS = ("cosine", "dot", "euclidean")
 
@@ -74,125 +75,58 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def scored(
-    corpus: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", block: int = QUERY_BLOCK
+    corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK, shard: int = SHARD_ROWS
 ) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest corpus vectors per query.
 
-    ``k=None`` returns every pair. Query vectors go to the tasks in blocks of about
-    ``block``, one pass over the corpus each. A task multiplies Arrow batches with the
-    block and keeps only its k best per query, so what is shuffled is small.
+    Both sides stay tables: queries are dealt to tiles of about ``block``, corpus rows to
+    shards of about ``shard``, and each pair of them is one matrix product in a task of its
+    own that keeps its k best per query. So what is shuffled afterwards is small, and more
+    queries or rows mean more tasks and not a larger plan.
     """
     if metric not in METRICS:
         raise ValueError(f"unsupported metric: {metric}")
-    spark = corpus.sparkSession
-    wanted = queries.select(F.col("query_id").cast("string"), "embedding")
-    n_blocks = max(1, -(-wanted.count() // block))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    vectors = corpus.select(F.col("id").cast("string").alias("id"), "embedding")
-    parts = None
-    for i in range(n_blocks):
-        rows = wanted.where(number == i).collect()
-        shared = spark.sparkContext.broadcast(
-            ([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64))
-        )
-        part = vectors.where(F.col("embedding").isNotNull()).mapInPandas(
-            _task(shared, k, metric), "query_id string, id string, score double"
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    if k is None:
-        return parts
+    wanted = queries.select(F.col("query_id").cast("string"), F.col("embedding").alias("query"))
+    vectors = corpus.where(F.col("embedding").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    n_blocks, n_shards = max(1, -(-wanted.count() // block)), max(1, -(-vectors.count() // shard))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = wanted.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("tile"), each(n_shards).alias("shard"))
+    right = vectors.select("*", each(n_blocks).alias("tile"), F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"))
+
+    def tile(a, b):
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": object, "id": object, "score": float})
+        names, ids = a["query_id"].to_numpy(dtype=object), b["id"].to_numpy(dtype=object)
+        rows, matrix = (np.stack(c.to_numpy()).astype(np.float64) for c in (b["vector"], a["query"]))
+        # Rounding makes equal vectors tie, whatever tile they are in.
+        scores = np.round(_scores(rows, matrix, metric), 12)
+        best = [_top(ids, s, k) for s in scores]
+        return pd.DataFrame({
+            "query_id": np.repeat(names, [len(x) for x in best]),
+            "id": np.concatenate([ids[x] for x in best]),
+            "score": np.concatenate([s[x] for s, x in zip(scores, best)]),
+        })
+
+    parts = left.groupBy("tile", "shard").cogroup(right.groupBy("tile", "shard")).applyInPandas(
+        tile, "query_id string, id string, score double"
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def best_per_query(
-    names: list[str], batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int, above: float = -np.inf
-) -> Iterator[pd.DataFrame]:
-    """The k best (query_id, id, score) per query over batches of (ids, scores[query, row])."""
-    best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(names)
-    for ids, scores in batches:
-        for q in range(len(names)):
-            i, s = ids, scores[q]
-            if above > -np.inf:
-                i, s = i[s > above], s[s > above]
-            top = _top(i, s, k)
-            i, s = i[top], s[top]
-            if best[q] is not None:
-                i, s = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], s])
-                top = _top(i, s, k)
-                i, s = i[top], s[top]
-            best[q] = (i, s)
-    for name, found in zip(names, best):
-        if found is not None and len(found[0]):
-            yield pd.DataFrame({"query_id": name, "id": found[0], "score": found[1]})
-
-
-def _task(shared, k: int | None, metric: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = shared.value
-        if not names:
-            return
-
-        def compared() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in batches:
-                if not batch.empty:
-                    block = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                    # Rounding makes equal vectors tie, whatever batch they are in.
-                    scores = np.round(_scores(block, matrix, metric), 12)
-                    yield batch["id"].to_numpy(dtype=object), scores
-
-        if k is not None:
-            yield from best_per_query(names, compared(), k)
-            return
-        for ids, scores in compared():
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(np.array(names, dtype=object), len(ids)),
-                    "id": np.tile(ids, len(names)),
-                    "score": scores.reshape(-1),
-                }
-            )
-
-    return run
-
-
-def words_found(
-    corpus: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK
-) -> DataFrame:
-    """(query_id, id, score) of the documents with query words as substrings, k per task.
+def mean_cosine(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, pairs, mean_score): over all corpus vectors, without any pair of vectors.
 
-    ``queries`` has query_id and words, ``corpus`` id and a lower-case document. Each
-    distinct word of a block is looked for once per document; the substring search runs
-    in Python because it is many times faster there than ``contains`` in the JVM.
+    The mean of the cosines with a query is the query's unit vector times the mean of the
+    corpus' unit vectors; a zero vector has the cosine 0.
     """
-    spark = corpus.sparkSession
-    n_blocks = max(1, -(-queries.count() // block))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    parts = None
-    for i in range(n_blocks):
-        rows = queries.where(number == i).collect()
-        shared = spark.sparkContext.broadcast([(r["query_id"], r["words"]) for r in rows if r["words"]])
-        part = corpus.mapInPandas(_word_task(shared, k), "query_id string, id string, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
-def _word_task(shared, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = shared.value
-        vocabulary = list(dict.fromkeys(w for _, ws in wanted for w in ws))
-        place = {w: i for i, w in enumerate(vocabulary)}
-        at = [np.array([place[w] for w in ws]) for _, ws in wanted]
-
-        def compared() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in batches:
-                if not batch.empty:
-                    texts = list(batch["document"].fillna(""))
-                    found = np.array([[w in t for t in texts] for w in vocabulary], dtype=bool)
-                    scores = np.array([found[p].sum(axis=0) / len(p) for p in at])
-                    yield batch["id"].to_numpy(dtype=object), scores
-
-        if wanted:
-            yield from best_per_query([name for name, _ in wanted], compared(), k, above=0.0)
-
-    return run
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = lambda c: F.transform(c, lambda x: F.when(norm(c) > 0, x.cast("double") / norm(c)).otherwise(0.0))
+    rows = corpus.where(F.col("embedding").isNotNull())
+    sums = rows.select(F.posexplode(unit(F.col("embedding")))).groupBy("pos").agg(F.sum("col").alias("total"))
+    mean = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"]))  # one row per dimension
+    n = rows.agg(F.count(F.lit(1)))
+    dot = F.aggregate(F.zip_with(unit(F.col("embedding")), F.col("_mean"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return queries.withColumn("_mean", mean.scalar()).withColumn("pairs", n.scalar()).select(
+        F.col("query_id").cast("string"), "pairs", (dot / F.col("pairs")).alias("mean_score")
+    )

@@ -63,7 +63,7 @@ def assign_cohorts(df: DataFrame, by: str = "first_call", granularity: str = "Mo
         F.min("timestamp").alias("first_ts"), F.count(F.lit(1)).alias("n_rows")
     )
     starts = firsts.withColumn("cohort_start", period_start(F.col("first_ts"), granularity)).drop("first_ts")
-    tagged = join_per_key(dated, starts, [key], ["call_id"]).drop("n_rows")
+    tagged = join_per_key(dated, starts, [key]).drop("n_rows")
     begin = period_start(F.col("timestamp"), granularity)
     return (
         tagged.withColumn("cohort_label", _labelled(key, by, F.col("cohort_start"), granularity))

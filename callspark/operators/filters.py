@@ -21,9 +21,6 @@ from ..functions.quantiles import percentile_row
 from ..functions.skew import join_per_key
 from ..schema import first_present
 
-# A longer list becomes a semi join instead of an IN expression.
-INLINE_LIST = 1000
-
 
 def date_range(df: DataFrame, start: Any = None, end: Any = None, column: str = "timestamp") -> DataFrame:
     """Inclusive at both ends; an absent end is open."""
@@ -39,10 +36,7 @@ def in_list(df: DataFrame, column: str, values: list | None) -> DataFrame:
     """Rows whose value is in the list; an empty list or absent column keeps all."""
     if not values or column not in df.columns:
         return df
-    if len(values) <= INLINE_LIST:
-        return df.where(F.col(column).isin(list(values)))
-    wanted = df.sparkSession.createDataFrame([(v,) for v in set(values)], df.select(column).schema)
-    return df.join(wanted, column, "left_semi")
+    return df.where(F.col(column).isin(list(values)))
 
 
 def value_range(
@@ -241,8 +235,8 @@ QUICK = ["connected", "failed", "long", "revenue", "today"]
 def segments(df: DataFrame, as_of: datetime) -> DataFrame:
     """One row per (segment, call): a call can be in several segments.
 
-    The thresholds are scalar subqueries; the caller counts come from one aggregate
-    that is joined back with its hot keys spread out.
+    The thresholds are scalar subqueries. Only the segment of frequent callers needs a join:
+    calls with a phone number meet the numbers that an aggregate has found often.
     """
     high_revenue = percentile_row(df, "revenue", [75]).scalar()
     long_call = percentile_row(df, "duration", [75]).scalar()
@@ -252,17 +246,18 @@ def segments(df: DataFrame, as_of: datetime) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .where("n_rows > 3")
     )
-    tagged = join_per_key(df, per_phone, ["phone_number"], ["call_id"], how="left")
     recent = F.lit((as_of - timedelta(days=7)).isoformat()).cast("timestamp_ntz")
     rules = [
         ("high_value", F.col("revenue") > high_revenue),
-        ("frequent_callers", F.col("n_rows") > 3),
         ("long_calls", F.col("duration") > long_call),
         ("failed_calls", F.col("outcome").isin("failed", "no_answer", "busy")),
         ("recent_calls", F.col("timestamp") > recent),
     ]
     names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
-    return tagged.withColumn("segment", F.explode(names)).drop("n_rows")
+    frequent = join_per_key(df, per_phone.select("phone_number"), ["phone_number"], "left_semi")
+    return df.withColumn("segment", F.explode(names)).unionByName(
+        frequent.withColumn("segment", F.lit("frequent_callers"))
+    )
 
 
 def phone_split(df: DataFrame, region: str = "US") -> DataFrame:

@@ -488,12 +488,12 @@ def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
     Three counting passes over (group, cell) keys, each a hash aggregate: the cell that
     holds the middle rank is found, then its parts, then its values.
     """
-    from ..functions.quantiles import INNER_CELLS, STEPS_PER_LOG, _keep_hit, _next_hits
+    from ..functions.quantiles import _keep_hit, _next_hits, inner_cell, log_cell
 
     x = df.select(F.col(group).alias("g"), F.col(column).cast("double").alias("x")).where(
         "x is not null and not isnan(x)"
     )
-    grid = F.floor(F.signum("x") * F.log1p(F.abs("x")) * STEPS_PER_LOG).cast("int")
+    grid = log_cell("x")
     cells = x.groupBy("g", grid.alias("c1")).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
@@ -507,16 +507,12 @@ def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
         "start",
         "end",
     ).select("g", "c1", "lo", "hi", "start", "total", "ranks")
-    inner = F.when(
-        F.col("hi") > F.col("lo"),
-        F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (INNER_CELLS - 1)),
-    ).otherwise(F.lit(0)).cast("int")
-    # Counts per (group, cell, part) first, so the join sees no hot key.
+    # Only rows of the one or two cells per group that hold a middle rank are counted by value.
     parts = (
-        x.groupBy("g", grid.alias("c1"), "x")
-        .agg(F.count(F.lit(1)).alias("n"))
+        x.withColumn("c1", grid)
         .join(hit1, ["g", "c1"])
-        .withColumn("c2", inner)
+        .groupBy("g", "c1", inner_cell().alias("c2"), "start", "total", "ranks", "x")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     hit2 = _next_hits(
         parts.groupBy("g", "c1", "c2", "start", "total", "ranks").agg(F.sum("n").alias("n")),

@@ -14,13 +14,6 @@ STEPS = {
     "monthly": ("month", "interval 1 month"),
 }
 
-# Up to this many groups are ranked by one window.
-DIRECT_ROWS = 1_000_000
-
-# Pages that end within this many rows are answered by one top-n.
-SHALLOW_ROWS = 100_000
-
-
 def volume_series(df: DataFrame, step: str = "daily", group: str | None = None) -> DataFrame:
     """Calls per bucket with empty buckets as 0; each group spans its own first to last.
 
@@ -74,23 +67,24 @@ def moving_averages(
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-def rank_groups(groups: DataFrame, measure: str, key: str, direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """Rank 1..n by a measure over an aggregated table (one row per group).
+def rank_groups(groups: DataFrame, measure: str, key: str) -> DataFrame:
+    """Rank 1..n by a measure over an aggregated table (one row per group)."""
+    return _ranked(groups, [F.col(measure).desc_nulls_last(), F.col(key)], "rank").withColumn("rank", F.col("rank").cast("int"))
 
-    Up to ``direct_rows`` groups (agents, campaigns) one window ranks them. A larger table
-    (customers) is sorted by range over all partitions and written to the checkpoint
-    folder; the rank is then the row's place in its partition plus the sizes of the
-    partitions before it.
+
+def _ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
+    """Adds the place in a global order, from 1.
+
+    The rows are sorted by range over all partitions and written to the checkpoint folder;
+    the place is then the row's place in its partition plus the sizes of the partitions
+    before it, so no task holds more than its range.
     """
-    order = [F.col(measure).desc_nulls_last(), F.col(key)]
-    if groups.limit(direct_rows + 1).count() <= direct_rows:
-        return groups.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    spark = groups.sparkSession
+    spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     place = F.monotonically_increasing_id()
     # The checkpoint fixes which row is in which partition before sizes are counted.
-    placed = groups.orderBy(*order).withColumn("_place", place).checkpoint()
+    placed = rows.orderBy(*order).withColumn("_place", place).checkpoint()
     part = F.shiftright("_place", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,8 +92,7 @@ def rank_groups(groups: DataFrame, measure: str, key: str, direct_rows: int = DI
     # One row per partition of the sort, at most spark.sql.shuffle.partitions of them.
     ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     in_part = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    rank = (F.col("_offset") + in_part + 1).cast("int")
-    return ranked.withColumn("rank", rank).drop("_place", "_part", "_offset")
+    return ranked.withColumn(rank, F.col("_offset") + in_part + 1).drop("_place", "_part", "_offset")
 
 
 def newest(df: DataFrame, n: int = 10) -> DataFrame:
@@ -119,46 +112,16 @@ def page_info(df: DataFrame, size: int, page: int) -> DataFrame:
     )
 
 
-def page_rows(
-    df: DataFrame, size: int, page: int, column: str = "timestamp", shallow_rows: int = SHALLOW_ROWS
-) -> DataFrame:
-    """Rows of one page, newest first, the call id deciding between equal times.
+def page_rows(df: DataFrame, size: int, page: int, column: str = "timestamp") -> DataFrame:
+    """Rows of one page, last value of ``column`` first, the call id deciding between equal ones.
 
-    A shallow page is a top-n. For a deep page the rows are counted per hour and then
-    per microsecond around the page, so that only the rows next to it are sorted.
+    The sort moves (column, call id) only, for a column of any type and a page of any depth;
+    the rows of the page are then looked up by the at most ``size`` pairs that it holds.
     """
-    info = page_info(df, size, page).first()
-    first = info["page"] * size
     order = [F.col(column).desc_nulls_last(), F.col("call_id")]
-    if first + size <= shallow_rows:
-        return df.orderBy(*order).offset(first).limit(size)
-    part, skipped = df, 0
-    for cell in (_hour(column), F.col(column)):
-        part, skipped = _around(part, cell, first - skipped, size, skipped)
-    return part.orderBy(*order).offset(first - skipped).limit(size)
-
-
-def _hour(column: str) -> Column:
-    return F.date_trunc("hour", F.col(column))
-
-
-def _around(df: DataFrame, cell: Column, first: int, size: int, skipped: int) -> tuple[DataFrame, int]:
-    """Rows of the cells (newest first) that hold ranks first .. first + size - 1."""
-    counts = df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    running = Window.orderBy(F.col("cell").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("end", F.sum("n").over(running)).withColumn(
-        "start", F.col("end") - F.col("n")
-    )
-    hit = placed.where((F.col("end") > first) & (F.col("start") < first + size))
-    bounds = hit.agg(
-        F.min("cell").alias("lo"),
-        F.max("cell").alias("hi"),
-        F.min("start").alias("start"),
-        F.count_if(F.col("cell").isNull()).alias("nulls"),
-    ).first()
-    inside = F.lit(False)
-    if bounds["lo"] is not None:
-        inside = cell.between(F.lit(bounds["lo"]), F.lit(bounds["hi"]))
-    if bounds["nulls"]:
-        inside = inside | cell.isNull()
-    return df.where(inside), skipped + (bounds["start"] or 0)
+    first = page_info(df, size, page).first()["page"] * size
+    keys = _ranked(df.select(F.col(column).alias("_value"), F.col("call_id").alias("_call")),
+                   [F.col("_value").desc_nulls_last(), F.col("_call")], "_rank")
+    keys = keys.where((F.col("_rank") > first) & (F.col("_rank") <= first + size)).select("_value", "_call").distinct()
+    found = df.join(F.broadcast(keys), df[column].eqNullSafe(F.col("_value")) & df["call_id"].eqNullSafe(F.col("_call")), "left_semi")
+    return found.orderBy(*order).limit(size)

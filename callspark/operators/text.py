@@ -234,9 +234,6 @@ def transcript_quality(df: DataFrame, text: str, min_tokens: int = 20) -> DataFr
     return out.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("_w")
 
 
-PART_SEGMENTS = 10_000
-
-
 def assemble_transcripts(
     segments: DataFrame,
     key: str,
@@ -244,33 +241,28 @@ def assemble_transcripts(
     text: str,
     confidence: str | None = None,
     number: str | None = None,
-    part_segments: int = PART_SEGMENTS,
 ) -> DataFrame:
-    """Transcript, mean confidence and segment list per call, in time order.
+    """Transcript, mean confidence and segment list per call, one row each, in time order.
 
-    ``number`` counts the segments of a call; without it the start second is used. A call
-    is cut into parts of ``part_segments`` numbers, so that no group is unbounded; a call
-    within the limit has the single part 0, a longer one continues in parts 1, 2, ...
+    A group is one call, so its size is bounded by the call and not by the table. Equal start
+    times follow the segment ``number``, if there is one.
     """
     value = F.col(confidence) if confidence else F.lit(0.95)
     # Fixed value: 0.95 is the confidence of a segment that carries none.
-    part = F.floor(F.col(number or start) / part_segments)
     trimmed = segments.select(
         key,
-        part.cast("bigint").alias("part"),
         F.struct(
             F.col(start).cast("double").alias("start"),
             strip(F.col(text)).alias("text"),
             F.coalesce(value, F.lit(0.95)).alias("confidence"),
         ).alias("s"),
     ).where(F.col("s.text") != "")
-    gathered = trimmed.groupBy(key, "part").agg(
+    gathered = trimmed.groupBy(key).agg(
         F.sort_array(F.collect_list("s")).alias("segments"),
         F.avg("s.confidence").alias("confidence"),
     )
     return gathered.select(
         key,
-        "part",
         F.array_join(F.col("segments.text"), " ").alias("transcript"),
         "confidence",
         F.size("segments").alias("n_segments"),

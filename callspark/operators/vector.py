@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..functions.formats import fixed
 from ..functions.skew import join_per_key
 from ..functions.text import collapse, last_position, let, share, strip, words
-from ..functions.vectors import scored, words_found
+from ..functions.vectors import scored
 from .filters import in_list
 
 METADATA = ["call_id", "agent_id", "campaign", "call_type", "outcome", "timestamp", "duration"]
@@ -117,12 +117,7 @@ def embed_new(
     fresh = unseen.select("text_key", provider(F.col("_text")).alias("embedding"))
     whole = fresh if cache is None else cache.select("text_key", "embedding").unionByName(fresh)
     counted = distinct.select("text_key", "n_rows").join(whole, "text_key")
-    return join_per_key(keyed, counted, ["text_key"], [key]).drop("text_key", "n_rows"), whole
-
-
-def similarity_matrix(queries: DataFrame, corpus: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(query_id, id, score) for every query and corpus vector."""
-    return scored(corpus, queries, None, metric)
+    return join_per_key(keyed, counted, ["text_key"]).drop("text_key", "n_rows"), whole
 
 
 def nearest(
@@ -134,7 +129,7 @@ def nearest(
 
 def with_documents(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     """Look up the document and metadata of the hits; the embedding stays behind."""
-    return corpus.drop("embedding").join(F.broadcast(hits), "id")
+    return corpus.drop("embedding").join(hits, "id")
 
 
 def _query_words(query: Column) -> Column:
@@ -160,15 +155,30 @@ def substring_share(query_words: Column, document: Column) -> Column:
     return let(F.struct(query_words.alias("q"), F.lower(document).alias("d")), inside)
 
 
-def keyword_search(corpus: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+def keyword_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): share of the query words found as substrings.
 
-    Documents without a hit leave nothing, and every task keeps its best k per query, so
-    what is shuffled is small.
+    A query word lies within one word of a document, so documents are looked up by their
+    distinct words: query words meet the vocabulary under their first three letters, the words
+    that contain them meet the documents. Neither queries nor documents are collected, and a
+    document without a hit is not touched.
     """
-    wanted = queries.select(F.col("query_id").cast("string"), _query_words(F.col("query")).alias("words"))
-    documents = corpus.select(F.col("id").cast("string").alias("id"), F.lower("document").alias("document"))
-    return _best_per_query(words_found(documents, wanted, k, block), "score", k)
+    wanted = queries.select(F.col("query_id").cast("string"), F.explode(_query_words(F.col("query"))).alias("word"))
+    wanted = wanted.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("times"))
+    sizes = wanted.groupBy("query_id").agg(F.sum("times").alias("n_words"))
+    postings = corpus.select(
+        F.col("id").cast("string").alias("id"), F.explode(F.array_distinct(words(F.lower("document")))).alias("term")
+    )
+    letters = 3
+    starts = F.explode(F.sequence(F.lit(1), F.length("term"))).alias("at")
+    vocabulary = postings.select("term").distinct().select("term", starts)
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(letters), F.length("term") - F.col("at") + 1))).alias("n")
+    grams = vocabulary.select("term", "at", lengths).select("term", F.substring("term", F.col("at"), F.col("n")).alias("gram")).distinct()
+    terms = wanted.select("word", F.substring("word", 1, letters).alias("gram")).distinct().join(grams, "gram")
+    terms = terms.where(F.contains("term", F.col("word"))).select("word", "term")
+    found = postings.join(terms, "term").select("word", "id").distinct()
+    hits = wanted.join(found, "word").groupBy("query_id", "id").agg(F.sum("times").alias("found")).join(sizes, "query_id")
+    return _best_per_query(hits.select("query_id", "id", (F.col("found") / F.col("n_words")).alias("score")), "score", k)
 
 
 def combine_hits(semantic: DataFrame, keyword: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
@@ -469,9 +479,11 @@ def build_index(
 ) -> DataFrame:
     """The index after adding documents (id, document, metadata).
 
-    Without ``update_existing`` only ids that are not in the index are embedded. When a
+    One row per id: of documents with the same id the smallest is taken. Without
+    ``update_existing`` only ids that are not in the index are embedded. When a
     metadata field is absent from the stored index, everything is built anew.
     """
+    documents = documents.groupBy("id").agg(F.min(F.struct("document", "metadata")).alias("_one")).select("id", "_one.*")
     wanted = documents.select("id", "document", "metadata.*").columns
     if index is not None and set(wanted) - set(index.columns):
         index = None

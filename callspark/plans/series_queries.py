@@ -241,7 +241,7 @@ def entries():
     add(
         "w11_rank_many_groups",
         lambda calls: s.rank_groups(
-            calls.groupBy("phone_number").agg(F.count(F.lit(1)).alias("calls")), "calls", "phone_number", 100
+            calls.groupBy("phone_number").agg(F.count(F.lit(1)).alias("calls")), "calls", "phone_number"
         ),
         """SELECT phone_number, calls, CAST(row_number() OVER (ORDER BY calls DESC, phone_number) AS INT) AS rank
            FROM (SELECT phone_number, count(*) AS calls FROM calls GROUP BY 1)""",
@@ -260,7 +260,7 @@ def entries():
     )
     add(
         "o2_deep_page_rows",
-        lambda calls: s.page_rows(calls, 50, 10**9, shallow_rows=0).select("call_id", "timestamp", "duration"),
+        lambda calls: s.page_rows(calls, 50, 10**9).select("call_id", "timestamp", "duration"),
         """SELECT call_id, "timestamp", duration FROM calls ORDER BY "timestamp" DESC, call_id LIMIT 50
            OFFSET (SELECT (count(*) - 1) // 50 * 50 FROM calls)""",
         order_calls,

@@ -115,6 +115,42 @@ def entries():
     add("s7_audio_rule", lambda spark, sf: ing.audio_rule(ing.file_inventory(spark, sf)).groupBy("suffix", "reason").agg(
         F.count(F.lit(1)).alias("files")), None)
 
+    def multiline(spark, sf):
+        path = new_folder(spark, "export")
+        ex.export_csv(document_calls(spark, sf), path, "detailed")
+        rows = ing.read_csv(spark, path)
+        return rows.select("call_id", F.sha2("transcript", 256).alias("transcript"), "campaign", F.col(ing.CORRUPT).isNotNull().alias("bad"))
+
+    q["s1_csv_multiline"] = (
+        multiline, with_documents(" SELECT call_id, sha256(transcript) AS transcript, campaign, false AS bad FROM calls")
+    )
+
+    def latin(spark, sf):
+        path = new_folder(spark, "csv")
+        c = event_calls(spark, sf).select("call_id", F.concat("campaign", F.lit(" caf\u00e9")).alias("notes"))
+        c.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+        return ing.read_csv(spark, path).drop(ing.CORRUPT)
+
+    add("s1_charset_fallback", latin, " SELECT call_id, campaign || ' caf\u00e9' AS notes FROM calls")
+
+    def mixed(spark, sf):
+        """Three orders and namings of the columns, a file without text and one without a required column."""
+        path, rows = new_folder(spark, "csv"), headed(raw_calls(spark, sf))
+        third = F.pmod(F.xxhash64("Call ID"), F.lit(3))
+        other = rows.select(*[F.col(c).alias({"Agent": "agent_id", "Amount": "Revenue"}.get(c, c)) for c in reversed(rows.columns)])
+        for i, part in enumerate((rows, rows.select(*sorted(rows.columns)), other)):
+            part.where(third == i).write.option("header", True).option("escape", '"').csv(f"{path}/layout={i}")
+        spark.range(1).select(F.lit("x").alias("Call ID")).write.option("header", True).csv(f"{path}/short")
+        spark.range(1).select(F.lit("").alias("value")).coalesce(1).write.text(f"{path}/blank.csv")
+        return path
+
+    add("s5_mixed_headers", lambda spark, sf: shown(ing.import_files(spark, mixed(spark, sf))[0]), RAW_SQL + CLEAN_SQL)
+    add(
+        "s5_file_errors",
+        lambda spark, sf: ing.import_files(spark, mixed(spark, sf))[2].agg(F.count(F.lit(1)).alias("bad_files")),
+        " SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 1 END AS bad_files FROM calls".replace("1 ELSE 1", "1::BIGINT ELSE 1::BIGINT"),
+    )
+
     def saved(spark, sf, fmt):
         root = new_folder(spark, "tables")
         st.save_table(event_calls(spark, sf), root, "calls", AS_OF, fmt)
@@ -167,6 +203,16 @@ def entries():
         ),
         upserted,
     )
+    def compacted(spark, sf):
+        root = new_folder(spark, "batches")
+        old, new = two_imports(event_calls(spark, sf))
+        place = [F.lit("f").alias("file_path"), F.lit(0).cast("bigint").alias("file_block")]
+        st.write_batch(old.drop("batch_seq").select("*", *place), root, 1)
+        st.compact(spark, root, "calls", AS_OF)
+        st.write_batch(new.drop("batch_seq").select("*", *place), root, 2)
+        return st.current_calls(spark, root).select("call_id", "outcome", "revenue", "agent_id")
+
+    add("k2_compact_then_import", compacted, upserted)
     calls(
         "k2_rows_added",
         lambda c: st.rows_added(*two_imports(c), "call_id"),
@@ -490,6 +536,31 @@ def entries():
 
     add("r1_stream_import", streamed, RAW_SQL + CLEAN_SQL)
 
+    def mixed_stream(spark, sf):
+        root, state = new_folder(spark, "stream"), new_folder(spark, "state")
+        rows = stream.stream_csv(spark, mixed(spark, sf), list(HEADERS.values()))
+        stream.import_stream(rows, root, state).awaitTermination()
+        return shown(st.current_calls(spark, root))
+
+    add("r1_stream_mixed_headers", mixed_stream, RAW_SQL + CLEAN_SQL)
+
+    def bad_stream(spark, sf):
+        root, state, path = new_folder(spark, "stream"), new_folder(spark, "state"), new_folder(spark, "csv")
+        c = event_calls(spark, sf)
+        i = F.col("call_id").cast("bigint")
+        line = F.concat_ws(",", "call_id", F.date_format("timestamp", SECOND), F.when(i % 6 == 0, "1,2,3").otherwise("12"), F.lit("text"))
+        c.select(line.alias("Call ID,Start Time,Duration,Notes")).write.option("header", True).option("quote", "").csv(path)
+        stream.import_stream(stream.stream_csv(spark, path, ["Call ID"]), root, state).awaitTermination()
+        bad = spark.read.parquet(f"{root}/rejected").agg(F.count("row").alias("bad_rows"))
+        return st.current_calls(spark, root).agg(F.count(F.lit(1)).alias("rows")).join(bad)
+
+    add(
+        "r1_stream_bad_rows",
+        bad_stream,
+        """ SELECT count(*) FILTER (WHERE CAST(call_id AS BIGINT) % 6 <> 0) AS rows,
+          count(*) FILTER (WHERE CAST(call_id AS BIGINT) % 6 = 0) AS bad_rows FROM calls""",
+    )
+
     def corrected(spark, sf):
         root, state = new_folder(spark, "stream"), new_folder(spark, "state")
         first, late = write_csv(spark, sf), new_folder(spark, "csv")

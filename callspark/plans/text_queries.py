@@ -243,10 +243,10 @@ def entries():
     docs(
         "t12_assemble_transcripts",
         lambda c: t.assemble_transcripts(c, "conv_id", "turn", "text", number="turn").select(
-            "conv_id", "part", F.sha2("transcript", 256).alias("transcript"), "n_segments",
+            "conv_id", F.sha2("transcript", 256).alias("transcript"), "n_segments",
             F.round("confidence", 6).alias("confidence"),
         ),
-        f"""SELECT conv_id, 0::BIGINT AS part, sha256(string_agg({sql_strip('text')}, ' ' ORDER BY turn)) AS transcript,
+        f"""SELECT conv_id, sha256(string_agg({sql_strip('text')}, ' ' ORDER BY turn)) AS transcript,
           CAST(count(*) AS INT) AS n_segments, 0.95::DOUBLE AS confidence FROM conversations
           WHERE {sql_strip('text')} <> '' GROUP BY conv_id""",
         "conversations",

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hash_embedding
+from ..functions.vectors import hash_embedding, mean_cosine
 from ..operators import vector as v
 from .rounding import rounded
 from .views import DOCUMENT_CALLS_SQL, SQL_BLANK, document_calls, sql_round, sql_strip, sql_words, table
@@ -28,6 +28,16 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; those without a stored vector have none."""
+    calls = document_calls(spark, sf_dir).withColumnRenamed("transcript", "document")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("call_id"), "embedding")
+    return calls.join(vectors, "call_id", "left").select(
+        F.col("call_id").alias("id"), "document", "agent_id", "campaign", "call_type", "outcome", "timestamp",
+        "duration", "embedding",
+    )
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     return table(spark, sf_dir, "benchmark").join(vectors, "item_id").select(
@@ -41,6 +51,8 @@ BASE = f"""WITH {DOCUMENT_CALLS_SQL},
   qs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query, CAST(embedding AS DOUBLE[]) AS v
     FROM benchmark JOIN embeddings ON vec_id = item_id)"""
 
+WHOLE = BASE.replace("FROM calls JOIN embeddings", "FROM calls LEFT JOIN embeddings")
+
 ORDER = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
 
 
@@ -96,6 +108,9 @@ def entries():
     def add(name, run, sql):
         q[name] = (lambda spark, sf, run=run: run(index(spark, sf), queries(spark, sf)), sql and f"{BASE}, {sql}")
 
+    def whole(name, run, sql):
+        q[name] = (lambda spark, sf, run=run: run(whole_index(spark, sf), queries(spark, sf)), sql and f"{WHOLE}, {sql}")
+
     def docs(name, run, sql):
         q[name] = (lambda spark, sf, run=run: run(document_calls(spark, sf)), sql and f"WITH {DOCUMENT_CALLS_SQL}{sql}")
 
@@ -141,7 +156,7 @@ def entries():
         """ SELECT count(*) AS rows, count(DISTINCT transcript) FILTER (WHERE campaign = 'en') AS known_texts,
           count(DISTINCT transcript) - count(DISTINCT transcript) FILTER (WHERE campaign = 'en') AS computed_texts FROM calls""",
     )
-    add(
+    whole(
         "v4_update_metadata",
         lambda i, qs: v.update_metadata(
             i, qs.select(F.col("query_id").alias("id"), F.lit("reviewed").alias("outcome"))
@@ -149,12 +164,12 @@ def entries():
         "x AS (SELECT 1) SELECT id, CASE WHEN query_id IS NOT NULL THEN 'reviewed' ELSE outcome END AS outcome, campaign "
         "FROM idx LEFT JOIN qs ON id = query_id",
     )
-    add(
+    whole(
         "v4_delete_ids",
         lambda i, qs: v.delete_ids(i, qs.select(F.col("query_id").alias("id"))).select("id"),
         "x AS (SELECT 1) SELECT id FROM idx WHERE id NOT IN (SELECT query_id FROM qs)",
     )
-    add(
+    whole(
         "v4_index_statistics",
         lambda i, qs: v.index_statistics(i),
         "x AS (SELECT 1) SELECT count(*) AS documents, CAST(max(len(v)) AS INT) AS dimension, "
@@ -175,9 +190,7 @@ def entries():
     )
     add(
         "j7_similarity_matrix",
-        lambda i, qs: v.similarity_matrix(qs, i)
-        .groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("score"), 6).alias("mean_score")),
+        lambda i, qs: mean_cosine(i, qs).withColumn("mean_score", F.round("mean_score", 6)),
         _scores() + " SELECT query_id, count(*) AS pairs, round(avg(score), 6) AS mean_score FROM s GROUP BY 1",
     )
     found_cols = ["query_id", "id", "score", "relevance", "snippet", "formatted_metadata", "above_threshold"]
@@ -226,7 +239,7 @@ def entries():
       ks AS (SELECT query_id, id, len(list_filter(w, lambda x: contains(t, x))) / CAST(len(w) AS DOUBLE) AS score
         FROM kq, kd),
       kr AS (SELECT *, {ORDER} AS rank FROM ks WHERE score > 0)"""
-    add(
+    whole(
         "v7_keyword_search",
         lambda i, qs: rounded(v.keyword_search(i, qs, 20), "score"),
         keyword + " SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM kr WHERE rank <= 20",
@@ -244,12 +257,12 @@ def entries():
     flat = lambda d: rounded(
         d.withColumn("sources", F.array_join("sources", ",")), "combined_score"
     )
-    add(
+    whole(
         "v7_hybrid_search",
         lambda i, qs: flat(v.hybrid_search(i, qs, 10)),
         hybrid + f" SELECT {out} FROM hr WHERE rank <= 10",
     )
-    add(
+    whole(
         "j6_combine_hits",
         lambda i, qs: flat(v.combine_hits(v.nearest(i, qs, 20), v.keyword_search(i, qs, 20), 40)),
         hybrid + f" SELECT {out} FROM hr WHERE rank <= 40",
@@ -332,7 +345,7 @@ def entries():
         .agg(F.count(F.lit(1)).alias("members")),
         None,
     )
-    add(
+    whole(
         "v14_cluster_text_features",
         lambda i, qs: v.cluster_hits(v.text_features(i.select("id", "document"), "document"), 5, "features")
         .groupBy("cluster")
@@ -340,6 +353,40 @@ def entries():
         None,
     )
 
+    plain = lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float"))
+
+    def entries_of(c, **changed):
+        meta = F.struct(*[changed.get(n, F.col(n)).alias(n) for n in ("agent_id", "campaign", "outcome")])
+        return c.select(F.col("call_id").alias("id"), F.col("transcript").alias("document"), meta.alias("metadata"))
+
+    def upserted(c):
+        """An index of all documents, then the English ones again, each twice, with another outcome."""
+        again = entries_of(c.where("campaign = 'en'"), outcome=F.lit("again"))
+        return v.build_index(again.unionByName(again), plain, v.build_index(entries_of(c), plain))
+
+    docs(
+        "v4_upsert",
+        lambda c: upserted(c).select("id", "outcome", F.get("embedding", F.lit(0)).cast("double").alias("first")),
+        " SELECT call_id AS id, CASE WHEN campaign = 'en' THEN 'again' ELSE outcome END AS outcome, "
+        "CAST(length(transcript) AS DOUBLE) AS first FROM calls",
+    )
+    docs(
+        "v4_get_by_ids",
+        lambda c: v.get_by_ids(upserted(c), ["1", "2", "17", "none"]).select("id", "campaign"),
+        " SELECT call_id AS id, campaign FROM calls WHERE call_id IN ('1', '2', '17')",
+    )
+
+    def rebuilt(c):
+        """A stored index without one of the fields is built anew from all documents."""
+        old = v.build_index(entries_of(c.where("campaign = 'en'")), plain).drop("agent_id")
+        return v.build_index(entries_of(c), plain, old, update_existing=False)
+
+    docs(
+        "v15_rebuild_on_absent_field",
+        lambda c: rebuilt(c).select("id", "agent_id", F.size("embedding").alias("dimension")),
+        " SELECT call_id AS id, agent_id, 2 AS dimension FROM calls",
+    )
+
     def incremental(c):
         provider = hash_embedding(64)
         ready = v.prepare_documents(c, AS_OF)
@@ -360,7 +407,7 @@ def entries():
         return v.verify_index(built, samples.select(F.col("item_id").cast("string").alias("query_id"), "embedding"))
 
     q["v15_verify_index"] = (verified, None)
-    add(
+    whole(
         "v17_index_export",
         lambda i, qs: v.index_export(i).select("id", F.col("metadata.campaign").alias("campaign"), "snippet"),
         "x AS (SELECT 1) SELECT id, campaign, substring(document, 1, 100) AS snippet FROM idx",

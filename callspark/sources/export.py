@@ -48,24 +48,27 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def safe_name(value: Column) -> Column:
-    """A value as part of a file name: unsafe and control characters become ``_``."""
+    """A value as part of a file name: unsafe and control characters become ``_``.
+
+    Names end at 255 characters; one that is longer ends in a digest of the whole value, so
+    different values keep different names.
+    """
     cleaned = F.regexp_replace(value.cast("string"), "[<>:\"/\\\\|?*\\x00-\\x1f]", "_")
-    cleaned = F.substring(F.regexp_replace(cleaned, "^[. ]+|[. ]+$", ""), 1, 255)
+    cleaned = F.regexp_replace(cleaned, "^[. ]+|[. ]+$", "")
+    digest = F.substring(F.sha2(value.cast("string"), 256), 1, 16)
+    cleaned = F.when(F.length(cleaned) <= 255, cleaned).otherwise(F.concat(F.substring(cleaned, 1, 238), F.lit("_"), digest))
     return F.when(F.length(cleaned) > 0, cleaned).otherwise(F.lit("unnamed"))
 
 
 def split_rows(df: DataFrame, split_by: str) -> DataFrame:
     """Rows with a value in the split column, plus the safe name of their part.
 
-    A part that holds much of the table is spread over 16 tasks.
+    The rebalance hint lets adaptive execution cut a part that holds much of the table.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
     return (
         df.where(F.col(split_by).isNotNull())
         .withColumn("split_name", safe_name(F.col(split_by)))
-        .withColumn("_spread", spread)
-        .repartition("split_name", "_spread")
-        .drop("_spread")
+        .hint("rebalance", F.col("split_name"))
     )
 
 

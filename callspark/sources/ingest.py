@@ -6,6 +6,7 @@ import re
 import tomllib
 from datetime import datetime
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,50 +25,123 @@ from ..functions.text import strip
 from ..schema import REQUIRED, MissingColumns
 
 CORRUPT = "_corrupt_record"
+SOURCE = "_source_file"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", recursive: bool = False) -> DataFrame:
-    """CSV with a header, every column as text, plus ``_corrupt_record`` for bad rows.
+def csv_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """(file_path, header, valid_utf8) of CSV files: header is the first line that is not blank.
 
-    Types are cast later, so the file is read once and not scanned for inference. All
-    files of one read must have the same header; a different one is an error.
+    A file without any text has null in both. Below a directory only names that end in
+    ``.csv``, in any case and also compressed, count; a path that names a file is taken as it is.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("recursiveFileLookup", recursive)
-        .option("pathGlobFilter", "*.csv")
+    paths = [path] if isinstance(path, str) else path
+    pattern = r"(?i).*\.csv(\.(gz|bz2|zst|snappy|lz4|deflate))?$"
+    named = F.lit(False)
+    for p in paths:
+        named = named | F.col("file_path").endswith(p.rstrip("/"))
+    wanted = named | F.col("file_path").rlike(pattern)
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
+        .select(F.col("_metadata.file_path").alias("file_path")).where(wanted)
+    )
+    lines = spark.read.option("recursiveFileLookup", recursive).text(paths).select(
+        F.col("_metadata.file_path").alias("file_path"), "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block")
     )
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    return (
-        reader.option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", False)
-        .option("columnPruning", False)
-        .schema(schema)
-        .csv(path)
+    first = lines.where(F.trim("value") != "").groupBy("file_path").agg(
+        F.min_by("value", F.struct("block", "at")).alias("header"),
+        F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
     )
+    return listed.join(first, "file_path", "left")
+
+
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, recursive: bool = False) -> DataFrame:
+    """CSV with a header, every column as text, plus ``_corrupt_record`` for bad rows.
+
+    Types are cast later, so values are not scanned for inference. Quoted fields may hold
+    line ends, so a file is read by one task; many files are read side by side. Every file is
+    read by its own header: files with equal headers and charsets are one scan, and the scans
+    are united by column name. Without ``encoding``, files that are not valid UTF-8 are read
+    as ISO-8859-1. Files without any text give no rows; ``file_errors`` names them.
+    """
+    return _placed(_united(spark, csv_layouts(spark, path, encoding, recursive)), keep_source=False)
+
+
+def csv_layouts(
+    spark: SparkSession, path: str | list[str], encoding: str | None = None, recursive: bool = False
+) -> list[DataFrame]:
+    """One table per header and charset of the files, with the place of each row in ``_source_file``."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for row in csv_files(spark, path, recursive).where("header is not null").collect():  # one row per file
+        charset = encoding or ("UTF-8" if row["valid_utf8"] else "ISO-8859-1")
+        groups.setdefault((row["header"].strip("\ufeff\r\n"), charset), []).append(unquote(row["file_path"]))
+    place = F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"))
+    out = []
+    for (_, charset), files in sorted(groups.items()):
+        reader = spark.read.options(header=True, encoding=charset, quote='"', escape='"', multiLine=True)
+        names = reader.csv(files[0]).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False)
+        out.append(reader.schema(schema).csv(sorted(files)).select("*", place.alias(SOURCE)))
+    return out
+
+
+def _united(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], f"{CORRUPT} string, {SOURCE} struct<file_path: string, file_block: bigint>")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _placed(rows: DataFrame, keep_source: bool) -> DataFrame:
+    columns = [c for c in rows.columns if c not in (CORRUPT, SOURCE)] + [CORRUPT]
+    if not keep_source:
+        return rows.select(*[F.col(f"`{c}`") for c in columns])
+    return rows.select(*[F.col(f"`{c}`") for c in columns], f"{SOURCE}.*", F.monotonically_increasing_id().alias("row_seq"))
+
+
+def file_errors(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
+    """(file_path, error) of files that an import leaves out."""
+    return csv_files(spark, path, recursive).where("header is null").select("file_path", F.lit("no header").alias("error"))
 
 
 def preview(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
     return read_csv(spark, path).drop(CORRUPT).limit(n)
 
 
-def read_directory(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_directory(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
     """All CSV files below a directory, with ``file_path`` and the place of each row.
 
     (file_path, file_block, row_seq) is the file order: the row number only has to
-    count within one block of one file.
+    count within one file.
     """
-    return read_csv(spark, path, encoding, recursive=True).select(
-        "*",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("file_block"),
-        F.monotonically_increasing_id().alias("row_seq"),
-    )
+    return _placed(_united(spark, csv_layouts(spark, path, encoding, recursive=True)), keep_source=True)
+
+
+def import_files(
+    spark: SparkSession, path: str | list[str], encoding: str | None = None
+) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(clean calls, rejected rows, errors per file) of all CSV files below a path.
+
+    The headers of each layout are mapped alone, so files with other names or another order of
+    columns meet in one table. A layout that lacks a required column, and files without a
+    header, give an error line each and do not stop the others.
+    """
+    errors = [tuple(r) for r in file_errors(spark, path).collect()]
+    good, rejected = [], [spark.createDataFrame([], "file_path string, row string")]
+    for layout in csv_layouts(spark, path, encoding, recursive=True):
+        rows = _placed(layout, keep_source=True)
+        try:
+            good.append(clean(parse_dates(standardise(rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)))))
+        except MissingColumns as error:
+            errors += [(r["file_path"], str(error)) for r in rows.select("file_path").distinct().collect()]
+            continue
+        # Spark wants a data column beside the bad-row one: an empty piece of it.
+        nothing = F.substring(F.coalesce(F.col(f"`{layout.columns[0]}`"), F.lit("")), 1, 0)
+        rejected.append(rows.where(F.col(CORRUPT).isNotNull()).select("file_path", F.concat(CORRUPT, nothing).alias("row")))
+    table = _united(spark, good) if good else None
+    return table, _united(spark, rejected), spark.createDataFrame(errors, "file_path string, error string")
 
 
 def bad_row_count(rows: DataFrame) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .ingest import SEQUENCE, file_inventory
 
 MANIFEST = "name string, version bigint, path string, format string, created_at timestamp, record_count bigint"
+COMPACTED = "name string, path string, batch_seq bigint, at timestamp"
 SNAPSHOTS = "name string, path string, created_at timestamp, record_count bigint"
 HISTORY = (
     "filename string, timestamp timestamp, records_imported bigint, status string, error string, file_size bigint"
@@ -73,12 +74,11 @@ def load_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 def by_day(df: DataFrame) -> DataFrame:
     """Adds ``call_date`` for partitioning, and brings the rows of a day together.
 
-    A day with many rows is spread over 16 tasks, so a busy day gives several files.
+    The rebalance hint lets adaptive execution cut a busy day into as many tasks as its size
+    asks for.
     """
     dated = df.withColumn("call_date", F.to_date("timestamp"))
-    return dated.withColumn("_part", F.pmod(F.xxhash64("call_id"), F.lit(16))).repartition(
-        "call_date", "_part"
-    ).drop("_part")
+    return dated.hint("rebalance", F.col("call_date"))
 
 
 def load_range(df: DataFrame, start: Any = None, end: Any = None) -> DataFrame:
@@ -103,12 +103,15 @@ def load_range(df: DataFrame, start: Any = None, end: Any = None) -> DataFrame:
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key, the last by ``order``; null keys count as equal.
 
-    The last row is an aggregate, so copies are combined before the shuffle and a key
-    that fills a third of the table is one row per task. ``df`` needs distinct orders.
+    The last order of a key is found on the key and order columns only, copies combined before
+    the shuffle; the rows themselves are moved once, by the join that keeps the last ones.
+    ``df`` needs distinct orders per key.
     """
-    rest = [c for c in df.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(key).agg(best.alias("_row")).select(key, "_row.*").select(*df.columns)
+    last = df.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
+    same = df[key].eqNullSafe(F.col("_key"))
+    for name in order:
+        same = same & df[name].eqNullSafe(F.col(f"_last.{name}"))
+    return df.join(last.withColumnRenamed(key, "_key"), same, "left_semi")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -142,18 +145,35 @@ def read_batches(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/batches").option("mergeSchema", True).parquet(f"{root}/batches")
 
 
-def current_calls(spark: SparkSession, root: str, key: str = "call_id", order: list[str] | None = None) -> DataFrame:
-    """The call table: of all batches the last row per call.
+def current_calls(
+    spark: SparkSession, root: str, key: str = "call_id", order: list[str] | None = None, name: str = "calls"
+) -> DataFrame:
+    """The call table: the last row per call of the newest compacted version and the batches after it.
 
-    Batches are only ever appended, so an import costs its own size and not that of the
-    table; ``compact`` folds them into one version from time to time.
+    Batches are only ever appended, so an import costs its own size and not that of the table;
+    ``compact`` folds them into a version, and older batches are not read again.
     """
-    return latest(read_batches(spark, root), key, ["batch_seq", *(order or SEQUENCE)])
+    sequence = ["batch_seq", *(order or SEQUENCE)]
+    folded = _read_or_empty(spark, f"{root}/_compacted", COMPACTED).where(F.col("name") == name).orderBy(F.desc("at")).first()
+    if folded is None:
+        return latest(read_batches(spark, root), key, sequence)
+    rows = spark.read.parquet(folded["path"])
+    later = read_batches(spark, root).where(F.col("batch_seq") > folded["batch_seq"])
+    if not later.isEmpty():
+        rows = rows.unionByName(later, allowMissingColumns=True)
+    return latest(rows, key, sequence).select(*[c for c in rows.columns if c != "call_date"])
 
 
 def compact(spark: SparkSession, root: str, name: str, as_of: datetime) -> str:
-    """Write the current calls as a new version, partitioned by day."""
-    return save_table(by_day(current_calls(spark, root)), root, name, as_of, partition_by=["call_date"])
+    """Write the current calls as a new version, partitioned by day, and note the last batch in it.
+
+    A batch that is replayed or arrives late under a number up to that one needs a compaction
+    without the old version; new batches have higher numbers.
+    """
+    last = read_batches(spark, root).agg(F.max("batch_seq")).first()[0]
+    path = save_table(by_day(current_calls(spark, root, name=name)), root, name, as_of, partition_by=["call_date"])
+    _append(spark, f"{root}/_compacted", COMPACTED, (name, path, last, as_of))
+    return path
 
 
 def create_snapshot(df: DataFrame, root: str, name: str, as_of: datetime) -> str:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.metrics import connected
-from ..sources.ingest import clean, parse_dates, standardise
+from ..sources.ingest import import_files
 from ..sources.store import write_batch
 
 
@@ -38,18 +39,29 @@ def import_stream(
     on_batch: Callable[[DataFrame, int], None] | None = None,
     first_batch: int = 0,
 ) -> StreamingQuery:
-    """Standardise, parse and clean each batch and write it as batch ``batch_id``.
+    """Standardise, parse and clean the files of each batch and write it as batch ``batch_id``.
+
+    ``rows`` tells which files are new (``file_path``); at most ``files_per_batch`` of them are
+    read again, each by its own header and with line ends in quoted fields. Files with one set
+    of columns are standardised together. Rows that do not parse go to ``rejected``, files that
+    cannot be imported to ``import_errors`` beside the batches, and the stream goes on.
 
     A replayed batch replaces its own directory only, so the table is right after a
     failure. Later batches win per call when the table is read.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # The row number is taken from the scan, before any shuffle moves the rows.
-        numbered = batch.withColumn("row_seq", F.monotonically_increasing_id())
-        write_batch(clean(parse_dates(standardise(numbered))), root, first_batch + batch_id)
-        if on_batch is not None:
-            on_batch(batch.sparkSession.read.parquet(f"{root}/batches/batch_seq={first_batch + batch_id}"), batch_id)
+        spark, number = batch.sparkSession, first_batch + batch_id
+        files = sorted(unquote(r["file_path"]) for r in batch.select("file_path").distinct().collect())
+        if not files:
+            return
+        good, rejected, errors = import_files(spark, files)
+        rejected.write.mode("overwrite").parquet(f"{root}/rejected/batch_seq={number}")
+        errors.write.mode("overwrite").parquet(f"{root}/import_errors/batch_seq={number}")
+        if good is not None:
+            write_batch(good, root, number)
+            if on_batch is not None:
+                on_batch(spark.read.parquet(f"{root}/batches/batch_seq={number}"), batch_id)
 
     return (
         rows.writeStream.foreachBatch(handle)

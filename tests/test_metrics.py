@@ -81,6 +81,7 @@ def test_counting_percentiles_equal_sorting(spark, kind):
         "wide": [10 ** rnd.uniform(-8, 12) for _ in range(2000)],
         "negative": [rnd.gauss(0, 50) for _ in range(2500)],
         "one": [3.25],
+        "infinite": [1.0, 2.0, 19.0, float("inf")] + [float("-inf")] * 3,
     }[kind]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     percents = [0, 5, 25, 50, 75, 95, 99, 100]

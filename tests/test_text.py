@@ -127,13 +127,13 @@ def test_transcript_quality(spark):
     assert [r["reason"] for r in t.transcript_quality(df, "t").collect()] == ["repetitive", None, "too short", "empty"]
 
 
-def test_transcript_parts_keep_every_segment(spark):
-    rows = [("hot", i, f" s{i} ") for i in range(25)] + [("b", 1, "x"), ("b", 0, "y"), ("b", 2, "  ")]
+def test_a_long_call_is_one_transcript(spark):
+    rows = [("hot", i, f" s{i} ") for i in range(10_500)] + [("b", 1, "x"), ("b", 0, "y"), ("b", 2, "  ")]
     df = spark.createDataFrame(rows, "id string, n int, t string")
-    parts = t.assemble_transcripts(df, "id", "n", "t", number="n", part_segments=10).orderBy("id", "part").collect()
-    assert [(r["id"], r["part"], r["n_segments"]) for r in parts] == [("b", 0, 2), ("hot", 0, 10), ("hot", 1, 10), ("hot", 2, 5)]
+    parts = t.assemble_transcripts(df, "id", "n", "t").orderBy("id").collect()
+    assert [(r["id"], r["n_segments"]) for r in parts] == [("b", 2), ("hot", 10_500)]
     assert parts[0]["transcript"] == "y x" and parts[0]["confidence"] == pytest.approx(0.95)
-    assert " ".join(r["transcript"] for r in parts[1:]) == " ".join(f"s{i}" for i in range(25))
+    assert parts[1]["transcript"] == " ".join(f"s{i}" for i in range(10_500))
 
 
 def test_formats(spark):

@@ -144,7 +144,7 @@ def test_hybrid_weights(spark):
 
 
 def test_keyword_search_counts_substrings(spark, corpus):
-    rows = v.keyword_search(corpus, queries_of(spark, 2), 400, block=1).collect()
+    rows = v.keyword_search(corpus, queries_of(spark, 2), 400).collect()
     score = {(r["query_id"], r["id"]): r["score"] for r in rows}
     assert score["q0", "d001"] == pytest.approx(2 / 3) and score["q1", "d000"] == pytest.approx(1 / 3)
     assert len(rows) == 600
