@@ -369,11 +369,13 @@ def removed_repeats(
     own = written(_anchor_rows(narrow.where(F.octet_length("text") >= window), window, gram), "anchors")
     per_gram = own.groupBy("gram").agg(F.count("*").alias("_n"), F.min("context").alias("_low"), F.max("context").alias("_high"))
     per_gram = per_gram.where("_n > 1").select(F.col("gram").alias("_gram"), "_n", (F.col("_low") != F.col("_high")).alias("_several"))
+    per_gram = written(per_gram, "grams-again")  # a scan of its own, so that a hot gram's rows can be split in the join
     again = written(own.join(per_gram, F.col("gram") == F.col("_gram")).drop("_gram"), "anchors-again")
     same = again.where(~F.col("_several")).withColumns({"copies": F.col("_n"), "first": F.lit(False)})
     each = again.where("_several").groupBy("gram", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "start")).alias("_first")
     )
+    each = written(each, "contexts-of-grams")
     several = again.where("_several").join(each.withColumnsRenamed({"gram": "_gram", "context": "_context"}), (F.col("gram") == F.col("_gram")) & (F.col("context") == F.col("_context")))
     is_first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("tag") == F.col("_first.tag")) & (F.col("start") == F.col("_first.start"))
     columns = ["doc_id", "tag", "start", "n", "place", "gram", "context", "copies", "first"]
