@@ -33,6 +33,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OPTIONAL_END = frozenset("p li dt dd tr td th option".split())
 _CONTAINERS = frozenset(("article", "main"))
 _DROPPED = frozenset("nav header footer aside form button menu dialog label fieldset datalist output progress".split())
+_BANDS = frozenset("nav header footer".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -65,8 +66,8 @@ def _is_dropped(name: str, attributes: str, in_container: bool) -> bool:
 def text_lines(page: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, container) of each text block of a page, markup stripped.
 
-    Boilerplate elements leave lines without text in their place, so that a window over them
-    holds less. The container is the number of the outermost article or main element, 0 outside.
+    Menus, headers and footers leave lines without text in their place, so that a window over
+    them holds nothing; what lies within an article leaves none. The container is the number of the outermost article or main element, 0 outside.
     """
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
@@ -105,7 +106,7 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
                 if name in skipped:
                     while skipped.pop() != name:
                         pass
-                    if not skipped:
+                    if not skipped and name in _BANDS:
                         lines.extend([("", 0, 0)] * WINDOW_LINES)
                 elif name in _CONTAINERS and open_containers or name in ("body", "html"):
                     skipped.clear()  # the dropped element was never closed
