@@ -103,7 +103,7 @@ def fit(
     text: str = "text",
     most_rows: int = TRAINING_ROWS,
     rounds: int = 150,
-    l2: float = 1e-4,
+    strength: float = 1.0,
 ) -> ToxicityModel:
     """Learn from at most ``most_rows`` labelled rows, all that ``labels`` holds if there are fewer.
 
@@ -111,7 +111,8 @@ def fit(
     other than 0 and 1 teach nothing; repeated rows count as often as they occur. Without any
     label, or with one class only, every score is the smoothed share of label 1.
 
-    The rows are chosen by a hash of the id. Their ids (16 bytes each) are what is broadcast;
+    ``strength`` is the weight of the ridge penalty against the sum over the rows' losses, so few
+    rows give a careful model. The rows are chosen by a hash of the id. Their ids (16 bytes each) are what is broadcast;
     counts of n-grams are summed by Spark, and the driver gets one row per hashed n-gram and,
     of the chosen rows, the selected n-grams.
     """
@@ -159,7 +160,7 @@ def fit(
 
     taught = sample.select("_text", "_y").mapInArrow(select, "f array<int>, y int").toPandas()
     rows_f = [np.asarray(f, np.int64) for f in taught["f"]]
-    w, bias = _logistic(rows_f, taught["y"].to_numpy(np.float64), ratio, rounds, l2)
+    w, bias = _logistic(rows_f, taught["y"].to_numpy(np.float64), ratio, rounds, strength / len(rows_f))
     weights = np.zeros(1 << BITS, np.float32)
     weights[feature] = w * ratio
     return ToxicityModel(weights, bias)
