@@ -81,8 +81,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 200) -> np.
     for t in range(1, rounds + 1):
         error = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50))) - y
         grad = x.T @ error / max(1, len(y)) + l2 * w
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w -= 0.1 / np.sqrt(1 + t / 20) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 

@@ -75,7 +75,7 @@ class ToxicityModel:
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
-    """Weights of binary features times ``scale`` by full gradient steps (Adam)."""
+    """Weights of binary features times ``scale`` by full gradient steps (Adam) that get shorter."""
     lengths = np.array([len(r) for r in rows])
     column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), lengths)
@@ -88,8 +88,8 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds:
         grad = np.bincount(column, value * error[row], len(scale)) / max(1, len(rows)) + l2 * w
         grad = np.append(grad, error.mean() if len(rows) else 0.0)
         m = 0.9 * m + 0.1 * grad
-        v = 0.99 * v + 0.01 * grad * grad
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        v = 0.999 * v + 0.001 * grad * grad
+        step = 0.1 / np.sqrt(1 + t / 5) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
     return w, float(bias)
@@ -102,7 +102,7 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
     most_rows: int = TRAINING_ROWS,
-    rounds: int = 150,
+    rounds: int = 250,
     strength: float = 1.0,
 ) -> ToxicityModel:
     """Learn from at most ``most_rows`` labelled rows, all that ``labels`` holds if there are fewer.
