@@ -74,19 +74,19 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -500, 500)))
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
+def _logistic(
+    column: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, rounds: int, l2: float
+) -> tuple[np.ndarray, float]:
     """Weights of binary features times ``scale`` by full gradient steps (Adam) that get shorter."""
-    lengths = np.array([len(r) for r in rows])
-    column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    value = scale[column]
+    n = len(lengths)
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     w, bias = np.zeros(len(scale)), 0.0
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, value * w[column], len(rows)) + bias
+        z = np.bincount(row, (scale * w).astype(np.float32)[column], n) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        grad = np.bincount(column, value * error[row], len(scale)) / max(1, len(rows)) + l2 * w
-        grad = np.append(grad, error.mean() if len(rows) else 0.0)
+        grad = scale * np.bincount(column, error.astype(np.float32)[row], len(scale)) / max(1, n) + l2 * w
+        grad = np.append(grad, error.mean() if n else 0.0)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = 0.1 / np.sqrt(1 + t / 5) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -158,9 +158,12 @@ def fit(
             own = [(p := place[f])[p >= 0] for f in documents_features(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], ["f", "y"])
 
-    taught = sample.select("_text", "_y").mapInArrow(select, "f array<int>, y int").toPandas()
-    rows_f = [np.asarray(f, np.int64) for f in taught["f"]]
-    w, bias = _logistic(rows_f, taught["y"].to_numpy(np.float64), ratio, rounds, strength / len(rows_f))
+    taught = sample.select("_text", "_y").mapInArrow(select, "f array<int>, y int").toArrow()
+    lists = taught.column("f").combine_chunks()
+    column, lengths = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+    y = taught.column("y").to_numpy().astype(np.float64)
+    del taught, lists
+    w, bias = _logistic(column, lengths, y, ratio, rounds, strength / len(y))
     weights = np.zeros(1 << BITS, np.float32)
     weights[feature] = w * ratio
     return ToxicityModel(weights, bias)
