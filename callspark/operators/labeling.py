@@ -39,16 +39,20 @@ def rule_table(df: DataFrame, rules: dict[str, Any] = LABEL_RULES) -> DataFrame:
 
 
 def _sections(rules: dict[str, Any]):
-    scoring = rules.get("scoring", {})
+    """(section, label, keywords, scorer) of every keyword group.
+
+    ``rules["scorers"]`` may give a function keyword -> weight for a label or a section; others
+    weigh a keyword by the scoring section.
+    """
+    scoring, scorers = rules.get("scoring", {}), rules.get("scorers", {})
     one = float(scoring.get("keyword_weight", 1.0))
     phrase = float(scoring.get("phrase_weight", 2.0))
     connection = rules.get("connection", {})
-    for name in ("disconnection", "connection"):
-        yield "connection", name, connection.get(f"{name}_keywords", []), lambda k: one
-    for label, keys in rules.get("call_types", {}).items():
-        yield "call_types", label, keys, lambda k: phrase if len(k.split()) > 1 else one
-    for label, keys in rules.get("outcomes", {}).items():
-        yield "outcomes", label, keys, lambda k: one
+    groups = [("connection", name, connection.get(f"{name}_keywords", [])) for name in ("disconnection", "connection")]
+    groups += [(section, label, keys) for section in ("call_types", "outcomes") for label, keys in rules.get(section, {}).items()]
+    for section, label, keys in groups:
+        by_default = (lambda k: phrase if len(k.split()) > 1 else one) if section == "call_types" else (lambda k: one)
+        yield section, label, keys, scorers.get(label) or scorers.get(section) or by_default
 
 
 def _all_keywords(rules: dict[str, Any]) -> list[str]:

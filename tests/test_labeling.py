@@ -108,3 +108,25 @@ def test_answers_in_blocks_equal_one_block(spark):
     by = {r["question"]: r for r in one}
     assert by["support calls duration > 3"]["askers"] == 2 and by["support calls duration > 3"]["calls"] == 47
     assert by["sales"]["calls"] == 0 and by["sales"]["sum_revenue"] == 0 and by["sales"]["max_revenue"] is None
+
+
+def test_rules_and_fields_from_toml(spark, tmp_path):
+    from callspark.operators.labeling import load_rules, rule_table
+    from callspark.sources.ingest import load_fields, map_headers
+
+    (tmp_path / "rules.toml").write_text(
+        '[scoring]\nkeyword_weight = 1.5\nphrase_weight = 4.0\n[connection]\nconnection_keywords = ["hello"]\n'
+        '[call_types]\nsales = ["buy now", "price"]\n[outcomes]\ndone = ["thanks"]\n'
+    )
+    rules = load_rules(str(tmp_path / "rules.toml"))
+    rows = {(r["label"], r["keyword"]): r["weight"] for r in rule_table(spark.range(1), rules).collect()}
+    assert rows == {("connection", "hello"): 1.5, ("sales", "buy now"): 4.0, ("sales", "price"): 1.5, ("done", "thanks"): 1.5}
+    scored = {**rules, "scorers": {"sales": lambda k: float(len(k)), "outcomes": lambda k: 0.5}}
+    rows = {(r["label"], r["keyword"]): r["weight"] for r in rule_table(spark.range(1), scored).collect()}
+    assert rows[("sales", "buy now")] == 7.0 and rows[("done", "thanks")] == 0.5 and rows[("connection", "hello")] == 1.5
+    (tmp_path / "fields.toml").write_text(
+        '[[fields.definitions]]\nname = "call_id"\nlabel = "Call"\nrequired = true\naliases = ["Ref No"]\npatterns = ["^id"]\n'
+    )
+    fields = load_fields(str(tmp_path / "fields.toml"))
+    assert fields == [("call_id", "Call", True, ["Ref No"], ["^id"])]
+    assert map_headers(["x", "refno"], fields) == {"call_id": "refno"}
