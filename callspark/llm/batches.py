@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import new_folder
 
 #: Bytes of text that one vectorised step works on; only memory depends on it.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that a Python worker keeps; later ones are encoded again for each batch.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _JOINED = 256
 _ENDS = ".,;:!?"
 
