@@ -2,17 +2,17 @@
 
 Candidates meet under a shared n-gram. In any fixed order of n-grams, two sets of similarity
 t share one of the first n - ceil(t * n) + 1 n-grams of each, so only those are keys. Under a
-key, the texts are points: the numbers of their n-grams in each of GROUPS hash groups. An
+key, the texts are points: the numbers of their n-grams in each of a number of hash groups. An
 R-tree over the points finds those whose overlap with a text, bounded by the sum of the
-coordinate minima, can be large enough; these are verified on the sets.
+coordinate minima, can be large enough. Texts that such surviving pairs connect form a cluster;
+the sets of its texts are brought together once and its surviving pairs are verified on them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .batches import SPACES, RollingHash, bounded_batches, column_name, flat, mixed, steps, text_hash, written
 from .components import components
 
-GROUPS = 32
+#: Hash groups of a set, and of a set with more than LARGE n-grams, which needs a finer bound.
+GROUPS, LARGE_GROUPS, LARGE = 64, 512, 1_024
 LEAF = 16
 TILE_ROWS = 1_024
 #: Documents whose n-grams decide which ones are frequent, and frequent n-grams that are known at
@@ -105,18 +106,61 @@ class RTree:
         return self.order[at]
 
 
+def group_counts(grams: np.ndarray) -> np.ndarray:
+    """Numbers of n-grams per hash group; the groups of a large set fold into those of a small one."""
+    groups = GROUPS if len(grams) <= LARGE else LARGE_GROUPS
+    return np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+class Survivors:
+    """The pairs of a group of texts that the bound lets through, found by R-trees.
+
+    Sets of up to LARGE n-grams, and those that are just large enough to be near one, are
+    compared by few groups, larger ones by many.
+    """
+
+    def __init__(self, counts: list[np.ndarray], sizes: np.ndarray, right: np.ndarray, percent: int):
+        self.percent, self.sizes = percent, sizes
+        self.small = np.stack([c.reshape(-1, GROUPS).sum(axis=0) for c in counts])
+        self.large = {i: c for i, c in enumerate(counts) if sizes[i] > LARGE}
+        low, high = right[sizes[right] * percent <= LARGE * 100], right[sizes[right] > LARGE]
+        self.low = (low, RTree(self.small[low], sizes[low])) if len(low) else None
+        self.high = (high, RTree(np.stack([self.large[i] for i in high.tolist()]), sizes[high])) if len(high) else None
+
+    def of(self, i: int) -> np.ndarray:
+        size, found = int(self.sizes[i]), []
+        if self.low and size * self.percent <= LARGE * 100:
+            rows, tree = self.low
+            found.append(rows[tree.near(self.small[i], size, self.percent)])
+        if self.high and size > LARGE:
+            rows, tree = self.high
+            found.append(rows[tree.near(self.large[i], size, self.percent)])
+        out = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return out[out != i]
+
+
+def connected(survivors: Survivors, left: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the surviving pairs of ``left``."""
+    label, links = np.arange(n), []
+    for i in left.tolist():
+        found = survivors.of(i)
+        for j in found[label[found] != label[i]].tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
 def linked(percent: int, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of ``sets``: those of ``left`` with those of ``right``.
+    """A spanning forest of the links of ``left`` with ``right``, verified on the sets.
 
     Pairs that earlier links have brought together already are not verified again.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    counts = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
-    tree = RTree(counts[right], sizes[right])
-    label = np.arange(len(sets))
-    links = []
+    survivors = Survivors([group_counts(s) for s in sets], sizes, right, percent)
+    label, links = np.arange(len(sets)), []
     for i in left.tolist():
-        found = right[tree.near(counts[i], int(sizes[i]), percent)]
+        found = survivors.of(i)
         found = found[label[found] != label[i]]
         while len(found):
             j, found = int(found[0]), found[1:]
@@ -130,6 +174,51 @@ def linked(percent: int, sets: list[np.ndarray], left: np.ndarray, right: np.nda
     return links
 
 
+def _by_group(rows: DataFrame, keys: list[str], links: Callable[[tuple, list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) links that ``links`` gives for the rows of each group; a group is gathered in one task.
+
+    Many small groups share a task, so the rows are sorted by key and read one after the other.
+    """
+    columns = [*keys, *[c for c in rows.columns if c not in keys]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        n = len(keys)
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:n] != row[:n]:
+                    out += links(group[0][:n], group)
+                    group = []
+                group.append(row)
+            yield batch_of(out)
+        yield batch_of(links(group[0][:n], group) if group else [])
+
+    ordered = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _tiled(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a group with several ``tiles``, once for each pair of tiles that their own belongs to."""
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    pair = [F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")]
+    return rows.select(key, *pair, "tile", *[c for c in rows.columns if c not in (key, "other", "tiles", "tile")])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    groups = GROUPS if n <= LARGE else LARGE_GROUPS
+    return np.frombuffer(raw, np.uint8 if len(raw) == groups else np.uint32).astype(np.int64)
+
+
 def _frequent(docs: DataFrame, words: int, doc_id: str, text: str) -> np.ndarray:
     """n-grams that a part of the documents shares, of a bounded sample by a hash of the id."""
     chosen = docs.select(F.col(doc_id).alias("_id")).where(F.col("_id").isNotNull()).orderBy(F.xxhash64("_id"), "_id").limit(ORDER_DOCS)
@@ -155,10 +244,11 @@ def groups_of(
     with nothing and kept. Equal sets stand for each other. A row without id takes part, and
     has a null component if all that it reaches have none.
 
-    Every text is read whole. Texts that share a frequent n-gram only do not meet, as frequent
-    ones come last in the order. Keys with the same texts are one key. A key with more than
-    ``tile_rows`` texts is joined tile by tile in tasks of their own, each of which returns a
-    spanning forest of its links and no pairs.
+    Every text is read whole. Texts that share frequent n-grams only seldom meet, as frequent
+    ones come last in the order. Keys with the same texts are one key. Under a key move 64 to 512
+    counts per text; the sets move once, and only those of texts with a surviving pair. A key or
+    cluster with more than ``tile_rows`` texts is joined tile by tile in tasks of their own, each
+    of which returns a spanning forest and no pairs.
     """
     bounded_batches(docs.sparkSession)
     frequent = _frequent(docs, words, doc_id, text)
@@ -166,9 +256,10 @@ def groups_of(
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, fp2, prefixes = [], [], [], []
+            n, fp, fp2, prefixes, counts = [], [], [], [], []
             for s in shingle_sets(batch.column(2), words):
                 n.append(len(s))
+                counts.append(_packed(group_counts(s)))
                 fp.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 fp2.append(int(mixed(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)))
                 if len(frequent) and len(s):
@@ -178,12 +269,12 @@ def groups_of(
                         s = np.concatenate([s[~last], s[last]])
                 prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, fp, fp2)), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "tag", "n", "fp", "fp2", "prefix"],
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, fp, fp2)), pa.array(counts, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "tag", "n", "fp", "fp2", "counts", "prefix"],
             )
 
     kind = dict(narrow.dtypes)["doc_id"]
-    sets = narrow.mapInArrow(keys, f"doc_id {kind}, tag long, n long, fp long, fp2 long, prefix array<long>")
+    sets = narrow.mapInArrow(keys, f"doc_id {kind}, tag long, n long, fp long, fp2 long, counts binary, prefix array<long>")
     sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "shingle-keys")
     same = ["n", "fp", "fp2"]
     classes = written(
@@ -198,42 +289,65 @@ def groups_of(
         F.count("*").alias("n_nodes"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("who")
     ).where("n_nodes > 1")
     shared = shared.groupBy("n_nodes", "low", "high", "who").agg(F.min("key").alias("key"))
-    shared = shared.select(F.col("key").alias("_key"), F.ceil(F.col("n_nodes") / tile_rows).cast("long").alias("tiles"))
-    wanted = (
-        postings.join(shared, F.col("key") == F.col("_key")).groupBy("node")
-        .agg(F.collect_list(F.struct("key", "tiles")).alias("keys"))
-        .join(nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), F.col("node") == F.col("_node"))
-        .select("node", "keys", "_id", "_tag")
+    shared = written(
+        shared.select(F.col("key").alias("_key"), F.ceil(F.col("n_nodes") / tile_rows).cast("long").alias("tiles")), "shingle-shared"
     )
-    texts = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("text", "node", "keys")
+    met = written(postings.join(shared, F.col("key") == F.col("_key")).select("key", "tiles", "node"), "shingle-postings")
+    wanted = met.groupBy("node").agg(F.collect_list(F.struct("key", "tiles")).alias("keys")).withColumnRenamed("node", "_node")
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            bounds, flat_keys = lists.offsets.to_numpy(), lists.values
+            lists = batch.column(3)
+            bounds, values = lists.offsets.to_numpy(), lists.values
             row = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            raw = pa.array([s.tobytes() for s in shingle_sets(batch.column(0), words)], pa.binary())
-            part = slice(bounds[0], bounds[-1])
-            for i in range(0, len(row), 500):  # a set is repeated for every key of its text
-                at = pa.array(row[i : i + 500])
-                ks, ts = (pc.struct_field(flat_keys, k).slice(part.start + i, len(at)) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([ks, ts, batch.column(1).take(at), raw.take(at)], ["key", "tiles", "node", "grams"])
-
-    rows = texts.mapInArrow(members, "key long, tiles long, node long, grams binary")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+            for i in range(0, len(row), 20_000):
+                at = pa.array(row[i : i + 20_000])
+                own = values.slice(bounds[0] + i, len(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pc.struct_field(own, 0), pc.struct_field(own, 1), *(batch.column(c).take(at) for c in range(3))],
+                    ["key", "tiles", "node", "n", "counts"],
+                )
+
+    keyed = sets.join(wanted, F.col("row") == F.col("_node")).select("row", "n", "counts", "keys")
+    keyed = keyed.mapInArrow(points, "key long, tiles long, node long, n long, counts binary")
+
+    def surviving(key: tuple, group: list[tuple]) -> list[tuple[int, int]]:
+        sizes = np.array([r[5] for r in group], np.int64)
+        if len(group) < 2 or sizes.min() * 100 < percent * sizes.max() and len(group) == 2:
+            return []
+        counts = [_unpacked(r[6], r[5]) for r in group]
+        tile = np.array([r[3] for r in group])
+        left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
+        if not len(left) or not len(right):
+            return []
+        found = connected(Survivors(counts, sizes, right, percent), left, len(group))
+        return [(group[i][4], group[j][4]) for i, j in found]
+
+    pairs = _by_group(_tiled(keyed, "key"), ["key", "low", "high"], surviving)
+    clusters = components(written(pairs, "surviving-pairs"))
+    tiles = clusters.groupBy("root").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("tiles")).withColumnRenamed("root", "cluster")
+    clusters = written(clusters.join(tiles, F.col("root") == F.col("cluster")).select("node", "cluster", "tiles"), "shingle-clusters")
+    placed = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    placed = placed.join(clusters, F.col("_node") == F.col("node")).select("_id", "_tag", "node", "cluster", "tiles")
+    texts = narrow.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("text", "node", "cluster", "tiles")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = pa.array([x.tobytes() for x in shingle_sets(batch.column(0), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (1, 2, 3)), raw], ["node", "cluster", "tiles", "grams"])
+
+    members = texts.mapInArrow(gather, "node long, cluster long, tiles long, grams binary")
 
-    def join(key, pdf):
-        pdf = pdf.drop_duplicates("node")
-        tile = pdf["tile"].to_numpy()
-        grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
+    def verified(key: tuple, group: list[tuple]) -> list[tuple[int, int]]:
+        group = list({r[4]: r for r in group}.values())  # repeated rows have one node
+        tile = np.array([r[3] for r in group])
         left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
-        links = linked(percent, grams, left, right) if len(left) and len(right) else []
-        node = pdf["node"].tolist()
-        return pd.DataFrame({"a": [node[i] for i, _ in links], "b": [node[j] for _, j in links]}, dtype="int64")
+        if len(group) < 2 or not len(left) or not len(right):
+            return []
+        found = linked(percent, [np.frombuffer(r[5], np.uint64) for r in group], left, right)
+        return [(group[i][4], group[j][4]) for i, j in found]
 
-    rows = rows.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "grams")
-    links = written(rows.groupBy("key", "low", "high").applyInPandas(join, "a long, b long"), "shingle-links")
+    links = written(_by_group(_tiled(members, "cluster"), ["cluster", "low", "high"], verified), "shingle-links")
     roots = components(links)
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min("first").alias("best"))
