@@ -164,22 +164,24 @@ def mix(docs: DataFrame, weights: list[int], most_repeats: int = 3, doc_id: str
     Rows that agree in id and text share their copies; where they differ in another column,
     the copies go to them in turn.
     """
-    h, n, k = (column_name(docs, c) for c in ("h", "copies", "place"))
+    h, n, k, key, key_h, rows, times, copy = (
+        column_name(docs, c) for c in ("text_tag", "copies", "place", "mix_id", "mix_tag", "mix_rows", "mix_times", "mix_copy")
+    )
     total = mix_plan(docs, weights, most_repeats, doc_id, text, source).groupBy("doc_id", "h").agg(
-        F.sum("copies").alias(n), F.count("*").alias("_rows")
+        F.sum("copies").alias(n), F.count("*").alias(rows)
     )
-    total = total.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), n, "_rows").where(F.col(n) > 0)
+    total = total.select(F.col("doc_id").alias(key), F.col("h").alias(key_h), n, rows).where(F.col(n) > 0)
     keyed = docs.withColumn(h, text_hash(text))
-    joined = keyed.join(total, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_h")))
-    single = joined.where(F.col("_rows") == 1).withColumn("_times", F.col(n))
-    in_turn = Window.partitionBy("_id", "_h").orderBy(*[F.col(c) for c in docs.columns if c not in (doc_id, text)])
+    joined = keyed.join(total, F.col(doc_id).cast("long").eqNullSafe(F.col(key)) & (F.col(h) == F.col(key_h)))
+    single = joined.where(F.col(rows) == 1).withColumn(times, F.col(n))
+    in_turn = Window.partitionBy(key, key_h).orderBy(*[F.col(c) for c in docs.columns if c not in (doc_id, text)] or [F.lit(0)])
     several = (
-        joined.where(F.col("_rows") > 1).withColumn(k, F.row_number().over(in_turn) - 1)
-        .withColumn("_times", F.floor(F.col(n) / F.col("_rows")) + (F.col(k) < F.pmod(F.col(n), F.col("_rows"))).cast("int"))
+        joined.where(F.col(rows) > 1).withColumn(k, F.row_number().over(in_turn) - 1)
+        .withColumn(times, F.floor(F.col(n) / F.col(rows)) + (F.col(k) < F.pmod(F.col(n), F.col(rows))).cast("int"))
         .drop(k)
     )
     return (
-        single.unionByName(several).where(F.col("_times") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        single.unionByName(several).where(F.col(times) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
         .select(*docs.columns)
     )

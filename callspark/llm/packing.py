@@ -81,12 +81,12 @@ def cut_pieces(
     ``ids_crc32``, ``doc_tokens`` and, on demand, the piece's ``token_ids``.
 
     A document (null text: empty) is cut into full windows and one remainder; a document
-    without any id has no piece.
+    without any id has no piece. Columns of these names are replaced.
     """
     bounded_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != text]
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     added = ["start", "length", "ids_crc32", "doc_tokens"]
+    kept = [c for c in docs.columns if c not in (text, *added, "token_ids")]
+    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
@@ -126,13 +126,11 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
     A piece that fills a window is a sequence of its own. All others are dealt to groups of
     about ``group_pieces`` by a hash of the row, and each group is packed by best-fit
     decreasing; only their number of rows decides the number of groups. Equal pieces may end
-    up in any order among themselves. ``sequence_id`` is group * 2^40 + window.
+    up in any order among themselves. Columns of the two names are replaced. ``sequence_id`` is group * 2^40 + window.
 
     The pieces are written to the shared folder first, as they are read twice.
     """
-    pieces = written(pieces, "pieces")
-    if "offset" in pieces.columns or "sequence_id" in pieces.columns:
-        raise ValueError("pieces already have an offset or a sequence_id")
+    pieces = written(pieces.drop("offset", "sequence_id"), "pieces")
     full = F.col("length") >= capacity
     n = pieces.where(~full).count()
     groups = max(1, -(-n // group_pieces))

@@ -73,7 +73,7 @@ def test_token_files_of_repeated_and_no_rows(spark, tmp_path):
 
 @pytest.mark.parametrize("group", [20_000, 15])
 def test_packing_keeps_every_id_once(spark, group):
-    docs = _docs(spark, TEXTS).drop("start", "n_chars")
+    docs = _docs(spark, TEXTS).withColumn("offset", F.lit("own"))
     pieces = packing.cut_pieces(docs, PATH, end_id=1, capacity=128, with_ids=True)
     packed = packing.pack(pieces, 128, group)
     rows = packed.collect()
@@ -157,6 +157,8 @@ def test_mix_meets_its_targets(spark):
     assert got == Counter({k: n for k, n in copies.items() if n})
     assert sorted(map(str, mixing.mix_plan(docs, [5, 2, 1]).collect())) == sorted(map(str, plan))
     assert mixing.mix(docs.limit(0), [5, 2, 1]).count() == 0
+    odd = docs.limit(50).withColumns({c: F.lit(1) for c in ("mix_id", "mix_rows", "h", "size", "target", "text_tag", "p")})
+    assert mixing.mix(odd, [5, 2, 1]).columns == odd.columns
 
 
 def test_pivotal_rounding_keeps_expectations(spark):
