@@ -91,6 +91,43 @@ def test_cap_filter_recall_at_the_threshold():
     assert len({r for r, _ in shared}) >= 0.99 * len(x)
 
 
+@pytest.mark.parametrize("rows", [6_000, 600_000, 10**6, 10**7])
+def test_cap_filter_recall_at_any_size(rows):
+    """Of 8,000 pairs at just 0.93, about 1 in 1,000 shares no filter; every vector passes many."""
+    rng = np.random.default_rng(9)
+    caps = cap_filters.choose_caps(rows, 0.93)
+    x = rng.standard_normal((8_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * side
+    (ra, ca), (rb, cb) = cap_filters.decode(caps, x), cap_filters.decode(caps, y)
+    both = np.intersect1d(*(r * (int(max(ca.max(), cb.max())) + 1) + c for r, c in ((ra, ca), (rb, cb))))
+    met = np.unique(both // (int(max(ca.max(), cb.max())) + 1))
+    assert len(met) >= 0.998 * len(x)
+    passed = np.bincount(ra, minlength=len(x))
+    assert np.median(passed) >= 40 and (passed > 1).mean() > 0.999
+
+
+def test_decode_is_exact_in_several_codes():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for caps in (cap_filters.Caps(2, 9, 1.2, 3), cap_filters.Caps(2, 3, 9.0, 5)):
+        scores = []
+        for rotation in range(caps.rotations):
+            a, b = (x @ w for w in cap_filters._code_words(2, caps.words, 12, rotation))
+            scores.append((a[:, :, None] + b[:, None, :]).reshape(len(x), -1))
+        scores = np.concatenate(scores, axis=1)
+        passed = scores >= caps.height
+        none = ~passed.any(1)
+        passed[none, scores[none].argmax(1)] = True
+        row, code = np.nonzero(passed)
+        got = cap_filters.decode(caps, x)
+        assert (got[0] == row).all() and (got[1] == code).all()
+
+
 def test_decode_is_exact():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((40, 12))
