@@ -106,7 +106,7 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
                 if name in skipped:
                     while skipped.pop() != name:
                         pass
-                    if not skipped and name in _BANDS:
+                    if not skipped and name in _BANDS and not open_containers:
                         lines.extend([("", 0, 0)] * WINDOW_LINES)
                 elif name in _CONTAINERS and open_containers or name in ("body", "html"):
                     skipped.clear()  # the dropped element was never closed
@@ -156,9 +156,10 @@ def main_text(page: str | None) -> str:
 
     The text lengths of the lines (lines that are mostly links count nothing) are summed over
     sliding windows. A surge point is a line where the window's sum reaches ``SURGE_CHARS`` after
-    it held less, a dive point the line where it falls to nothing. The stretch with most text is
-    the main one, and with it all lines of the same article or main element; without such an
-    element, all stretches from the first surge to the last dive.
+    it held less, a dive point the line where it falls to nothing. Stretches that meet in an
+    article or main element are taken as one, and the one with most text is the main one. If most
+    of its text lies in article or main elements, all lines of these elements are returned;
+    otherwise, all stretches from the first surge to the last dive.
     """
     lines = text_lines(page) if page else []
     if not lines:
@@ -178,14 +179,24 @@ def main_text(page: str | None) -> str:
         stretches = [(0, len(lines))] if lengths.any() else []
     if not stretches:
         return ""
-    by_container: dict[int, int] = {}
+    groups: list[dict[int, int]] = []  # text by container, of stretches that meet in an article or main element
+    group_of: dict[int, dict[int, int]] = {}
     for a, b in stretches:
+        own: dict[int, int] = {}
         for i in range(a, b):
-            by_container[lines[i][2]] = by_container.get(lines[i][2], 0) + int(lengths[i])
-    by_container.pop(0, None)
-    if by_container:
-        best = max(by_container, key=lambda c: (by_container[c], -c))
-        return "\n".join(text for text, _, c in lines if c == best and text)
+            if lengths[i]:
+                own[lines[i][2]] = own.get(lines[i][2], 0) + int(lengths[i])
+        group = next((group_of[c] for c in own if c in group_of), None)
+        if group is None:
+            group = {}
+            groups.append(group)
+        for c, n in own.items():
+            group[c] = group.get(c, 0) + n
+            if c:
+                group_of[c] = group
+    best = max(groups, key=lambda g: sum(g.values()))
+    if 2 * best.get(0, 0) < sum(best.values()):
+        return "\n".join(text for text, _, c in lines if c and c in best and text)
     first, last = stretches[0][0], stretches[-1][1]
     return "\n".join(text for (text, _, _), n in zip(lines[first:last], lengths[first:last], strict=True) if text and n)
 

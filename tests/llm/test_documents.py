@@ -209,6 +209,35 @@ def test_main_text_of_a_page(start, end):
     assert html_text.main_text(PAGE.replace("{open}", start).replace("{close}", end)) == MAIN
 
 
+BODY = "".join(f"<p>Paragraph {i} of the story, with enough words to count as running text.</p>" for i in range(40))
+
+
+def test_main_text_outside_of_a_card():
+    """A short article element beside a long body, before, after and far from it."""
+    want = [f"Paragraph {i} of the story, with enough words to count as running text." for i in range(40)]
+    card = "<article><p>Another story that you may like to read as well, with a short line on it.</p></article>"
+    for gap in ("", "<nav>x</nav>"):
+        for page in (f"<div>{BODY}</div>{gap}{card}", f"{card}{gap}<div>{BODY}</div>"):
+            assert [x for x in html_text.main_text(f"<body>{page}</body>").split("\n") if x.startswith("Para")] == want
+
+
+def test_main_text_of_sibling_articles():
+    parts = BODY.split("<p>Paragraph 20")
+    page = f"<body><div>Menu</div><article>{parts[0]}</article><article><p>Paragraph 20{parts[1]}</article><p>End</p></body>"
+    assert html_text.main_text(page).split("\n") == [
+        f"Paragraph {i} of the story, with enough words to count as running text." for i in range(40)
+    ]
+
+
+def test_main_text_of_an_article_with_lists_of_links():
+    """The parts of an article count as one against a text beside it."""
+    links = '<ul>' + '<li><a href="/">link to more of it</a></li>' * 5 + '</ul>'
+    section = "<p>" + "a part of the article " * 20 + "</p>"
+    page = f"<body><article>{(section + links) * 4}</article><nav>x</nav><div><p>{'some other text ' * 50}</p></div></body>"
+    text = html_text.main_text(page)
+    assert text.count("a part of the article") == 80 and "other" not in text
+
+
 def test_odd_pages(spark):
     pages = [None, "", "plain & text", "<p>a<p>b", '<div class="ad">x<div>open<article><p>hello there</p></article>', "<" * 50, "<!-- open", "<p>" + "x" * 200_000]
     want = ["", "", "plain & text", "a\nb", "hello there", None, "", "x" * 200_000]
