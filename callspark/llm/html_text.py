@@ -37,6 +37,8 @@ _BANDS = frozenset("nav header footer".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: First words of a class that tell about the page and not about the element: has-sidebar, no-comments.
+_STATE = frozenset("has have with without no is not".split())
 _NOT_MAIN = re.compile(
     r"(?:ads?|adsense|adslot|advert\w*|adverts?|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notifications?|alert|"
     r"popup|modal|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|sidebar|side|rail|menus?|nav|navbar|"
@@ -45,29 +47,90 @@ _NOT_MAIN = re.compile(
 )
 
 
+def _is_hidden(attributes: str) -> bool:
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), next((v for v in values if v), "")
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return True
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True
+    return False
+
+
 def _is_dropped(name: str, attributes: str, in_container: bool) -> bool:
     if name in _DROPPED and not (name == "header" and in_container):
         return True
     if not attributes or name in ("body", "html"):
         return False
+    if _is_hidden(attributes):
+        return True
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "role" and value.lower() in _ROLES:
             return True
         if key in ("class", "id") and name != "main":
-            words = [w.lower() for w in _WORD.findall(value)]
+            tokens = [[w.lower() for w in _WORD.findall(token)] for token in value.split()]
+            words = [w for token in tokens if token and token[0] not in _STATE for w in token]
             if any(_NOT_MAIN.fullmatch(w) for w in words) and not (name in ("h1", "h2", "p") and key == "id"):
                 return True
     return False
 
 
-def text_lines(page: str) -> list[tuple[str, int, int]]:
+def _wrappers(page: str) -> frozenset[int]:
+    """Places of the elements that would be dropped though each holds more than half of the page's
+    text; text in links and in hidden elements does not count."""
+    total = in_links = in_hidden = 0
+    open_elements: list[tuple[str, int, int, bool]] = []  # name, place or -1, text before, hidden
+    depth: dict[str, int] = {}
+    held: list[tuple[int, int]] = []
+
+    def close() -> str:
+        nonlocal in_links, in_hidden
+        name, place, before, hidden = open_elements.pop()
+        depth[name] -= 1
+        in_links -= name == "a"
+        in_hidden -= hidden
+        if place >= 0:
+            held.append((place, total - before))
+        return name
+
+    def count(raw: str) -> None:
+        nonlocal total
+        if raw and not in_links and not in_hidden:
+            total += len(" ".join((html.unescape(raw) if "&" in raw else raw).split()))
+
+    at = 0
+    for token in _TOKEN.finditer(page):
+        count(page[at : token.start()])
+        at = token.end()
+        if token[3] is None:
+            continue
+        name, attributes = token[3].lower(), token[4]
+        if token[2]:
+            if depth.get(name):
+                while close() != name:
+                    pass
+        elif name not in _VOID and not attributes.endswith("/"):
+            if name in _OPTIONAL_END and open_elements and open_elements[-1][0] == name:
+                close()
+            hidden = name not in ("body", "html") and _is_hidden(attributes)
+            in_hidden += hidden
+            in_links += name == "a"
+            place = token.start() if not in_hidden and _is_dropped(name, attributes, False) else -1
+            open_elements.append((name, place, total, hidden))
+            depth[name] = depth.get(name, 0) + 1
+    count(page[at:])
+    while open_elements:
+        close()
+    return frozenset(place for place, n in held if 2 * n > total)
+
+
+def text_lines(page: str, wrappers: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
     """(text, characters in links, container) of each text block of a page, markup stripped.
 
     Menus, headers and footers leave lines without text in their place, so that a window over
     them holds nothing; what lies within an article leaves none. The container is the number of the outermost article or main element, 0 outside.
+    Elements that start at a place in ``wrappers`` are not dropped.
     """
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
@@ -134,7 +197,7 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if name in _VOID:
             continue
-        if _is_dropped(name, attributes, bool(open_containers)):
+        if token.start() not in wrappers and _is_dropped(name, attributes, bool(open_containers)):
             end_line()
             if not attributes.endswith("/"):
                 skipped.append(name)
@@ -159,9 +222,14 @@ def main_text(page: str | None) -> str:
     it held less, a dive point the line where it falls to nothing. Stretches that meet in an
     article or main element are taken as one, and the one with most text is the main one. If most
     of its text lies in article or main elements, all lines of these elements are returned;
-    otherwise, all stretches from the first surge to the last dive.
+    otherwise, all stretches from the first surge to the last dive. On a page without text in such
+    elements, what would be dropped by name, role, class or id stays if it holds most of the text.
     """
     lines = text_lines(page) if page else []
+    if page and not any(container for _, _, container in lines):
+        wrappers = _wrappers(page)
+        if wrappers:
+            lines = text_lines(page, wrappers)
     if not lines:
         return ""
     lengths = np.array([0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines])

@@ -229,6 +229,26 @@ def test_main_text_of_sibling_articles():
     ]
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<form id="aspnetForm">{}</form>', '<div class="page has-sidebar">{}</div>', '<div id="search"><div class="legal">{}</div></div>',
+    '<form><div class="tags">{}', '<aside role="complementary">{}</aside>',
+])
+def test_main_text_in_a_wrapper(wrapper):
+    around = '<nav>Menu of the site with some words in it</nav>{}<div class="sidebar">Side text that is not part of the story at all.</div>'
+    inner = '<div class="share">Share this story with all of your friends and others.</div>'
+    page = "<body>" + around.format(wrapper.format(BODY + inner)) + "</body>"
+    assert html_text.main_text(page).split("\n") == [
+        f"Paragraph {i} of the story, with enough words to count as running text." for i in range(40)
+    ]
+
+
+def test_wrappers_that_stay_dropped():
+    hidden = '<div class="sidebar" style="display: none">' + BODY + "</div>"
+    story = "<p>A story that is short but long enough to be found as a stretch of text.</p>"
+    for page in (f"<div>{story}</div>{hidden}", f'<div>{story}</div><div hidden><form>{BODY}</form></div>', f'<div>{story}</div><div class="site-footer">Some text of it</div>'):
+        assert html_text.main_text(f"<body>{page}</body>") == story[3:-4]
+
+
 def test_main_text_of_an_article_with_lists_of_links():
     """The parts of an article count as one against a text beside it."""
     links = '<ul>' + '<li><a href="/">link to more of it</a></li>' * 5 + '</ul>'
