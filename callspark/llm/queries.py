@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from . import cap_filters, cotraining, html_text, jaccard, mixing, packing, suffix_dedup, token_files, topk, toxicity
+from . import cap_filters, cotraining, html_text, jaccard, mixing, packing, suffix_dedup, token_files, topk, toxicity, winnowing
 from .batches import table, text_hash
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -100,6 +100,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(pages)
 
 
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -127,4 +131,5 @@ QUERIES = {
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_main_text": (op10_main_text, None),
+    "op13_winnowing": (op13_winnowing, None),
 }
