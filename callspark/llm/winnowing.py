@@ -164,9 +164,13 @@ def with_fingerprint(docs: DataFrame, text: str = "text", gram: int = GRAM, wind
 
 def up_to_window(kept: Column, windows: Column, window: int) -> Column:
     """Of all kept codes of a text, those that its first ``windows`` windows keep."""
-    last = lambda x: position(x).between(windows - 1, windows + window - 2)
-    found = let(F.array_min(F.filter(kept, last)), lambda m: F.filter(kept, lambda x: position(x) <= position(m)))
-    return F.when(windows > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    def found(n: Column) -> Column:
+        last = F.array_min(F.filter(kept, lambda x: position(x).between(n - 1, n + window - 2)))
+        return let(position(last), lambda p: F.filter(kept, lambda x: position(x) <= p))
+
+    # The number is taken once per row, not once per code.
+    return F.when(windows > 0, let(windows, found)).otherwise(F.array().cast("array<bigint>"))
 
 
 KEY = ["_has_id", "_id", "_hash"]
