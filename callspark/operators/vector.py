@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.formats import fixed
+from ..functions.postings import keyword_index, search
 from ..functions.skew import join_per_key
 from ..functions.text import collapse, last_position, let, share, strip, words
 from ..functions.vectors import scored
@@ -158,27 +159,11 @@ def substring_share(query_words: Column, document: Column) -> Column:
 def keyword_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): share of the query words found as substrings.
 
-    A query word lies within one word of a document, so documents are looked up by their
-    distinct words: query words meet the vocabulary under their first three letters, the words
-    that contain them meet the documents. Neither queries nor documents are collected, and a
-    document without a hit is not touched.
+    A query word lies within one word of a document, so documents are searched by an inverted
+    index of their words (see ``functions.postings``).
     """
-    wanted = queries.select(F.col("query_id").cast("string"), F.explode(_query_words(F.col("query"))).alias("word"))
-    wanted = wanted.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("times"))
-    sizes = wanted.groupBy("query_id").agg(F.sum("times").alias("n_words"))
-    postings = corpus.select(
-        F.col("id").cast("string").alias("id"), F.explode(F.array_distinct(words(F.lower("document")))).alias("term")
-    )
-    letters = 3
-    starts = F.explode(F.sequence(F.lit(1), F.length("term"))).alias("at")
-    vocabulary = postings.select("term").distinct().select("term", starts)
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(letters), F.length("term") - F.col("at") + 1))).alias("n")
-    grams = vocabulary.select("term", "at", lengths).select("term", F.substring("term", F.col("at"), F.col("n")).alias("gram")).distinct()
-    terms = wanted.select("word", F.substring("word", 1, letters).alias("gram")).distinct().join(grams, "gram")
-    terms = terms.where(F.contains("term", F.col("word"))).select("word", "term")
-    found = postings.join(terms, "term").select("word", "id").distinct()
-    hits = wanted.join(found, "word").groupBy("query_id", "id").agg(F.sum("times").alias("found")).join(sizes, "query_id")
-    return _best_per_query(hits.select("query_id", "id", (F.col("found") / F.col("n_words")).alias("score")), "score", k)
+    asked = queries.select("query_id", _query_words(F.col("query")).alias("words"))
+    return search(keyword_index(corpus), asked, k)
 
 
 def combine_hits(semantic: DataFrame, keyword: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
