@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, time, timedelta
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from ..functions.fixed_values import (
     QUESTION_PATTERNS,
 )
 from ..functions.text import let
+from ..session import new_folder
 
 NTZ = "timestamp_ntz"
 P = QUESTION_PATTERNS
@@ -304,86 +305,100 @@ def question_filters(text: Column, as_of: datetime) -> Column:
     )
 
 
-def _matches(f: Column) -> Column:
-    """The filter struct of one question of the call's type against the current row."""
+def _in_ranges(bounds: dict[str, tuple[str, str]]) -> Column:
+    """Whether the columns of a call lie between the bounds, each of which may be null (open)."""
+    tests = []
+    for column, (low, high) in bounds.items():
+        tests.append(F.col(low).isNull() | F.coalesce(F.col(column) >= F.col(low), F.lit(False)))
+        tests.append(F.col(high).isNull() | F.coalesce(F.col(column) <= F.col(high), F.lit(False)))
+    return reduce(and_, tests)
 
-    def low(bound: Column, column: str) -> Column:
-        return bound.isNull() | F.coalesce(F.col(column) >= bound, F.lit(False))
 
-    def high(bound: Column, column: str) -> Column:
-        return bound.isNull() | F.coalesce(F.col(column) <= bound, F.lit(False))
+MEASURES = ["duration", "revenue"]
+RANGES = {"timestamp": ("start", "end"), "duration": ("min_duration", "max_duration"), "revenue": ("min_amount", "max_amount")}
+#: The call columns that a filter can list values for, and the field of the filter that does.
+LISTS = {"call_type": "types", "outcome": "outcomes", "agent_id": "agents"}
+ANY = "*"
+_KEYS = ["shape", "level", "bucket", *[f"key_{c}" for c in LISTS]]
 
-    def one_of(values: Column, column: str) -> Column:
-        return (F.size(values) == 0) | F.coalesce(F.array_contains(values, F.col(column)), F.lit(False))
 
-    return (
-        one_of(f["outcomes"], "outcome")
-        & one_of(f["agents"], "agent_id")
-        & low(f["start"], "timestamp")
-        & high(f["end"], "timestamp")
-        & low(f["min_duration"], "duration")
-        & high(f["max_duration"], "duration")
-        & low(f["min_amount"], "revenue")
-        & high(f["max_amount"], "revenue")
-    )
+def _day(ts: Column) -> Column:
+    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date"))
 
 
-BLOCK = 500
-ANY_TYPE = "*"
-MEASURES = ["duration", "revenue"]
-
+def filter_keys(filters: DataFrame) -> DataFrame:
+    """One row per combination of listed values and time bucket of each filter.
 
-def answer_questions(
-    questions: DataFrame, text: str, calls: DataFrame, as_of: datetime, block: int = BLOCK
-) -> DataFrame:
+    ``shape`` has a bit per list that is not empty; an absent list has the key ``ANY``. A filter
+    with both time bounds gets buckets of 2^level days, the smallest that cover its span with
+    two of them; others have level -1. Filters that end before they start match nothing.
+    """
+    out = filters.where("f.start IS NULL OR f.end IS NULL OR f.start <= f.end")
+    shape = F.lit(0)
+    for bit, (column, name) in enumerate(LISTS.items()):
+        listed = F.size(f"f.{name}") > 0
+        shape = shape + F.when(listed, 1 << bit).otherwise(0)
+        values = F.when(listed, F.array_distinct(f"f.{name}")).otherwise(F.array(F.lit(ANY)))
+        out = out.withColumn(f"key_{column}", F.explode(values))
+    both = F.col("f.start").isNotNull() & F.col("f.end").isNotNull()
+    first, last = _day(F.col("f.start")), _day(F.col("f.end"))
+    level = F.when(both, F.ceil(F.log2(last - first + 1)).cast("int")).otherwise(-1)
+    out = out.withColumn("shape", shape).withColumn("level", level)
+    buckets = F.when(both, F.sequence(_bucket(first, F.col("level")), _bucket(last, F.col("level")))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return out.withColumn("bucket", F.explode(buckets)).select("filter", *_KEYS, *[f"f.{b}" for pair in RANGES.values() for b in pair])
+
+
+def _bucket(day: Column, level: Column) -> Column:
+    return F.floor(day / F.pow(F.lit(2.0), level))
+
+
+def call_keys(calls: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """Every call once per (shape, level) in use, with the keys that filters of it would have."""
+    used = calls.select("timestamp", *LISTS, *MEASURES)
+    if not shapes:
+        used, shapes = used.limit(0), [(0, -1)]
+    asked = F.explode(F.array(*[F.struct(F.lit(s).alias("shape"), F.lit(n).alias("level")) for s, n in shapes]))
+    out = used.select("*", asked.alias("_asked")).select("*", "_asked.*").drop("_asked")
+    for bit, column in enumerate(LISTS):
+        out = out.withColumn(f"key_{column}", F.when(F.col("shape").bitwiseAND(1 << bit) > 0, F.col(column).cast("string")).otherwise(ANY))
+    bucket = F.when(F.col("level") < 0, F.lit(0).cast("bigint")).otherwise(_bucket(_day(F.col("timestamp")), F.col("level")))
+    return out.withColumn("bucket", bucket).select(*_KEYS, *RANGES)
+
+
+def _parsed_once(asked: DataFrame) -> DataFrame:
+    """The questions from a written table: they are read three times and parsed by many patterns."""
+    spark = asked.sparkSession
+    path = new_folder(spark, "questions")
+    asked.write.parquet(path)
+    return spark.read.schema(asked.schema).parquet(path)
+
+
+def answer_questions(questions: DataFrame, text: str, calls: DataFrame, as_of: datetime) -> DataFrame:
     """One row per distinct question: askers, matching calls and their aggregates.
 
-    Questions with the same text are answered once. The filters of a block of about
-    ``block`` questions are one map value by call type; a call is tested against the
-    questions of its type and those that name none. Only matching (question, call) pairs
-    exist, and they are combined before the shuffle. More questions than a block mean one
-    more pass over the calls per block.
+    A predicate join: questions with the same filter are answered once; filters and calls meet
+    under keys of listed values and time buckets, and the ranges are tested on what meets. The
+    plan has one pass over the calls, however many questions there are; matches are combined
+    before they are shuffled. The driver sees the (shape, level) pairs in use, some two hundred
+    at most.
     """
-    distinct = (
+    asked = (
         questions.where(F.col(text).isNotNull())
         .groupBy(F.col(text).alias("question"))
         .agg(F.count(F.lit(1)).alias("askers"))
         .withColumn("f", question_filters(F.col("question"), as_of))
+        .withColumn("filter", F.sha2(F.to_json("f"), 256))
     )
-    n = distinct.count()
-    # A block holds about ``block`` questions, chosen by a hash of the text.
-    blocks = max(1, -(-n // block))
-    number = F.pmod(F.xxhash64("question"), F.lit(blocks))
-    used = calls.select("timestamp", "call_type", "outcome", "agent_id", *MEASURES)
-    parts = []
-    for i in range(blocks):
-        mine = distinct.where(number == i)
-        types = F.when(F.size("f.types") > 0, F.col("f.types")).otherwise(F.array(F.lit(ANY_TYPE)))
-        by_type = (
-            mine.select(F.explode(types).alias("type"), F.struct("question", "f").alias("q"))
-            .groupBy("type")
-            .agg(F.collect_list("q").alias("qs"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("type", "qs"))))
-        )
-        asked = F.flatten(
-            F.array_compact(
-                F.array(
-                    F.try_element_at("by_type", F.lit(ANY_TYPE)),
-                    F.try_element_at("by_type", F.coalesce("call_type", F.lit(""))),
-                )
-            )
-        )
-        matching = F.filter(asked, lambda q: _matches(q["f"]))
-        hits = used.withColumn("by_type", by_type.scalar()).select(
-            F.explode(F.transform(matching, lambda q: q["question"])).alias("question"), *MEASURES
-        )
-        totals = [F.count(F.lit(1)).alias("calls")]
-        for m in MEASURES:
-            totals += [
-                F.avg(m).alias(f"average_{m}"), F.sum(m).alias(f"sum_{m}"),
-                F.max(m).alias(f"max_{m}"), F.min(m).alias(f"min_{m}"),
-            ]
-        answers = hits.groupBy("question").agg(*totals)
-        parts.append(mine.drop("f").join(answers, "question", "left"))
-    out = reduce(DataFrame.unionByName, parts)
+    asked = _parsed_once(asked)
+    keys = filter_keys(asked.groupBy("filter").agg(F.any_value("f").alias("f")))
+    shapes = [(r["shape"], r["level"]) for r in keys.select("shape", "level").distinct().collect()]
+    hits = call_keys(calls, sorted(shapes)).join(keys, _KEYS).where(_in_ranges(RANGES))
+    totals = [F.count(F.lit(1)).alias("calls")]
+    for m in MEASURES:
+        totals += [
+            F.avg(m).alias(f"average_{m}"), F.sum(m).alias(f"sum_{m}"),
+            F.max(m).alias(f"max_{m}"), F.min(m).alias(f"min_{m}"),
+        ]
+    answers = hits.groupBy("filter").agg(*totals)
+    out = asked.select("question", "askers", "filter").join(answers, "filter", "left").drop("filter")
     return out.fillna(0, ["calls", *[f"sum_{m}" for m in MEASURES]])

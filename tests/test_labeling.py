@@ -1,4 +1,5 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,19 +96,57 @@ def test_intents(spark):
     assert third["explanation"] == "Filtering (low confidence interpretation)"
 
 
-def test_answers_in_blocks_equal_one_block(spark):
-    calls = spark.createDataFrame(
-        [("Support", "Resolved", "a1", float(i), float(i % 7)) for i in range(50)],
-        "call_type string, outcome string, agent_id string, duration double, revenue double",
-    ).withColumn("timestamp", F.lit("2024-03-05 00:00:00").cast("timestamp_ntz"))
-    texts = [f"support calls duration > {i}" for i in range(9)] + ["support calls duration > 3", "sales"]
+def _answers(calls, questions):
+    """Per question the calls that pass its filter, tested one by one."""
+    out = {}
+    for q, f in questions:
+        mine = [
+            c for c in calls
+            if all(not f[name] or c[column] in [x for x in f[name] if x is not None] for column, name in n.LISTS.items())
+            and all(
+                (f[low] is None or c[column] is not None and c[column] >= f[low])
+                and (f[high] is None or c[column] is not None and c[column] <= f[high])
+                for column, (low, high) in n.RANGES.items()
+            )
+        ]
+        revenue = [c["revenue"] for c in mine if c["revenue"] is not None]
+        out[q] = (len(mine), sum(revenue), max(revenue, default=None))
+    return out
+
+
+def test_answers_equal_brute_force(spark):
+    rng = random.Random(2)
+    pick = lambda *x: rng.choice(x)
+    rows = [
+        (pick("Support", "Inquiry", None), pick("Resolved", "Refund", "connected", None), pick("a1", "a2", None), pick(None, float(i % 40)), pick(None, 5.0 * i),
+         pick(None, AS_OF - timedelta(hours=rng.randint(0, 2000)), AS_OF, AS_OF.replace(hour=0)))
+        for i in range(300)
+    ]
+    calls = spark.createDataFrame(rows, "call_type string, outcome string, agent_id string, duration double, revenue double, timestamp timestamp_ntz")
+    day = lambda d: (AS_OF - timedelta(days=d)).date().isoformat()
+    texts = [f"{a} calls {b} {c} {d}".strip() for a in ("", "support", "inquiry and billing")
+             for b in ("", "resolved", "refund agent a1 agent a2 agent a1")
+             for c in ("", "last 7 days", "last 1 days", "last 60 days", f"from {day(20)} to {day(3)}", f"from {day(3)} to {day(9)}", "from 0001-01-01 to 9999-12-31")
+             for d in ("", "duration > 12", "duration < 5", "between 100 and 900")]
+    texts += ["nothing asked", "nothing else asked", texts[3], None]
     q = spark.createDataFrame([(x,) for x in texts], "q string")
-    one = n.answer_questions(q, "q", calls, AS_OF).orderBy("question").collect()
-    many = n.answer_questions(q, "q", calls, AS_OF, block=2).orderBy("question").collect()
-    assert one == many and len(one) == 10
-    by = {r["question"]: r for r in one}
-    assert by["support calls duration > 3"]["askers"] == 2 and by["support calls duration > 3"]["calls"] == 47
-    assert by["sales"]["calls"] == 0 and by["sales"]["sum_revenue"] == 0 and by["sales"]["max_revenue"] is None
+    found = {r["question"]: r for r in n.answer_questions(q, "q", calls, AS_OF).collect()}
+    parsed = q.where("q IS NOT NULL").select("q", n.question_filters(F.col("q"), AS_OF).alias("f")).collect()
+    want = _answers(calls.collect(), [(r["q"], r["f"]) for r in parsed])
+    assert {k: (r["calls"], r["sum_revenue"], r["max_revenue"]) for k, r in found.items()} == want
+    assert found[texts[3]]["askers"] == 1 + texts.count(texts[3]) - 1 and len({w[0] for w in want.values()}) > 20
+    assert n.answer_questions(q.limit(0), "q", calls, AS_OF).count() == 0
+
+
+def test_many_questions_do_not_change_the_plan(spark):
+    calls = spark.createDataFrame([("Support", "Resolved", "a1", 5.0, 1.0, AS_OF)], "call_type string, outcome string, agent_id string, duration double, revenue double, timestamp timestamp_ntz")
+    sizes = []
+    for many in (10, 5_000):
+        q = spark.range(many).select(F.concat(F.lit("support calls duration > "), F.col("id")).alias("q"))
+        out = n.answer_questions(q, "q", calls, AS_OF)
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString().splitlines()))
+        assert out.count() == many and out.where("calls = 1").count() == 6
+    assert sizes[0] == sizes[1]
 
 
 def test_rules_and_fields_from_toml(spark, tmp_path):
