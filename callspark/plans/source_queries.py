@@ -134,23 +134,38 @@ def entries():
     add("s1_charset_fallback", latin, " SELECT call_id, campaign || ' caf\u00e9' AS notes FROM calls")
 
     def mixed(spark, sf):
-        """Three orders and namings of the columns, a file without text and one without a required column."""
+        """Three orders and namings of the columns, a file without text for every campaign and
+        one without the required columns for every call type."""
         path, rows = new_folder(spark, "csv"), headed(raw_calls(spark, sf))
         third = F.pmod(F.xxhash64("Call ID"), F.lit(3))
         other = rows.select(*[F.col(c).alias({"Agent": "agent_id", "Amount": "Revenue"}.get(c, c)) for c in reversed(rows.columns)])
         for i, part in enumerate((rows, rows.select(*sorted(rows.columns)), other)):
             part.where(third == i).write.option("header", True).option("escape", '"').csv(f"{path}/layout={i}")
-        spark.range(1).select(F.lit("x").alias("Call ID")).write.option("header", True).csv(f"{path}/short")
-        spark.range(1).select(F.lit("").alias("value")).coalesce(1).write.text(f"{path}/blank.csv")
+        kinds = rows.select("Project", "Category").distinct()
+        once = lambda c: kinds.select(F.col(c).alias("of"), F.lit(" ").alias("Call ID")).distinct().coalesce(1).write.partitionBy("of")
+        once("Category").option("header", True).csv(f"{path}/short")
+        once("Project").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/blank")
         return path
 
     add("s5_mixed_headers", lambda spark, sf: shown(ing.import_files(spark, mixed(spark, sf))[0]), RAW_SQL + CLEAN_SQL)
     add(
         "s5_file_errors",
-        lambda spark, sf: ing.import_files(spark, mixed(spark, sf))[2].agg(F.count(F.lit(1)).alias("bad_files")),
-        " SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 1 END AS bad_files FROM calls".replace("1 ELSE 1", "1::BIGINT ELSE 1::BIGINT"),
+        lambda spark, sf: ing.import_files(spark, mixed(spark, sf))[2].groupBy("error").agg(F.count_distinct("file_path").alias("files")),
+        """ SELECT 'no header' AS error, count(DISTINCT campaign) AS files FROM calls
+          UNION ALL SELECT 'missing required columns: timestamp, duration, transcript', count(DISTINCT call_type) FROM calls""",
     )
 
+    def named(spark, sf):
+        """Files below folders whose names hold pattern, blank, percent and quote characters."""
+        path, rows = new_folder(spark, "csv"), headed(raw_calls(spark, sf))
+        names = ["calls [1]", "calls [12]", "{a,b} calls", "50% of calls?", "all* calls", "it's é + \\d"]
+        part = F.pmod(F.xxhash64("Call ID"), F.lit(len(names)))
+        for i, name in enumerate(names):
+            rows.where(part == i).write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+        return path
+
+    add("s1_csv_names", lambda spark, sf: shown(ing.import_files(spark, named(spark, sf))[0]), RAW_SQL + CLEAN_SQL)
+
     def saved(spark, sf, fmt):
         root = new_folder(spark, "tables")
         st.save_table(event_calls(spark, sf), root, "calls", AS_OF, fmt)

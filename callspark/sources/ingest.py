@@ -28,17 +28,24 @@ CORRUPT = "_corrupt_record"
 SOURCE = "_source_file"
 
 
+def literal(path: str) -> str:
+    """A path for a reader that takes brackets, braces, stars and question marks as patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def csv_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """(file_path, header, valid_utf8) of CSV files: header is the first line that is not blank.
 
     A file without any text has null in both. Below a directory only names that end in
     ``.csv``, in any case and also compressed, count; a path that names a file is taken as it is.
+    Paths may be patterns; ``literal`` gives that of one file whatever its name is.
     """
     paths = [path] if isinstance(path, str) else path
     pattern = r"(?i).*\.csv(\.(gz|bz2|zst|snappy|lz4|deflate))?$"
     named = F.lit(False)
+    plain = F.try_url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
     for p in paths:
-        named = named | F.col("file_path").endswith(p.rstrip("/"))
+        named = named | plain.endswith(re.sub(r"\\(.)", r"\1", p).rstrip("/"))
     wanted = named | F.col("file_path").rlike(pattern)
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
@@ -71,14 +78,16 @@ def csv_layouts(
 ) -> list[DataFrame]:
     """One table per header and charset of the files, with the place of each row in ``_source_file``."""
     groups: dict[tuple[str, str], list[str]] = {}
-    for row in csv_files(spark, path, recursive).where("header is not null").collect():  # one row per file
+    headed = csv_files(spark, path, recursive).where("header is not null").withColumn("header", F.col("header").cast("binary"))
+    for row in headed.collect():  # one row per file
         charset = encoding or ("UTF-8" if row["valid_utf8"] else "ISO-8859-1")
-        groups.setdefault((row["header"].strip("\ufeff\r\n"), charset), []).append(unquote(row["file_path"]))
+        groups.setdefault((bytes(row["header"]).decode(charset, "replace").strip("\ufeff\r\n"), charset), []).append(literal(unquote(row["file_path"])))
     place = F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"))
     out = []
-    for (_, charset), files in sorted(groups.items()):
+    for (header, charset), files in sorted(groups.items()):
         reader = spark.read.options(header=True, encoding=charset, quote='"', escape='"', multiLine=True)
-        names = reader.csv(files[0]).columns
+        whole = header.count('"') % 2 == 0  # else a quoted name goes on in the next line
+        names = reader.csv(spark.sparkContext.parallelize([header], 1) if whole else files[0]).columns
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
         reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False)
         out.append(reader.schema(schema).csv(sorted(files)).select("*", place.alias(SOURCE)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.metrics import connected
-from ..sources.ingest import import_files
+from ..sources.ingest import import_files, literal
 from ..sources.store import write_batch
 
 
@@ -52,7 +52,7 @@ def import_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark, number = batch.sparkSession, first_batch + batch_id
-        files = sorted(unquote(r["file_path"]) for r in batch.select("file_path").distinct().collect())
+        files = sorted(literal(unquote(r["file_path"])) for r in batch.select("file_path").distinct().collect())
         if not files:
             return
         good, rejected, errors = import_files(spark, files)

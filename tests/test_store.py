@@ -155,3 +155,38 @@ def test_kpi_stream_appends_closed_windows(spark, tmp_path):
     stream.kpi_stream(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["calls"], r["connected_calls"], r["avg_duration"]) for r in out] == [(2, 1, 15.0)]
+
+
+NAMES = ["calls [1].csv", "calls [12].csv", "calls 2.csv", "{a,b}.CSV", "50% of?.csv", "all*.csv", "it's é + \\d.csv"]
+
+
+def _odd_files(folder):
+    for i, name in enumerate(NAMES):
+        text = f"Call ID,Start Time,Call Length,Notes\n{i},2024-01-0{i + 1} 10:00:00,60,\"said, {name}\n\"\"twice\"\"\"\n"
+        (folder / name).write_text(text)
+
+
+def test_file_names_are_not_patterns(spark, tmp_path):
+    _odd_files(tmp_path)
+    good, rejected, errors = ing.import_files(spark, str(tmp_path))
+    assert sorted(r["call_id"] for r in good.collect()) == [str(i) for i in range(len(NAMES))]
+    assert rejected.collect() == [] and errors.collect() == []
+    one = ing.read_csv(spark, ing.literal(f"{tmp_path}/calls [1].csv")).collect()
+    assert len(one) == 1 and one[0]["Call ID"] == "0" and one[0]["Notes"].endswith('"twice"')
+
+
+def test_stream_takes_files_of_any_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    _odd_files(tmp_path / "in")
+    rows = stream.stream_csv(spark, str(tmp_path / "in"), ["Call ID", "Start Time", "Call Length", "Notes"], files_per_batch=3)
+    stream.import_stream(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert st.current_calls(spark, str(tmp_path / "out")).count() == len(NAMES)
+
+
+def test_headers_over_two_lines_and_other_charsets(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'"Call\nID",Start\n1,2\n')
+    (tmp_path / "b.csv").write_bytes("Numéro,Start\n1,café\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_text("﻿Call,call,,x\n1,2,3,4\n")
+    tables = ing.csv_layouts(spark, str(tmp_path))
+    names = sorted([c for c in t.columns if c not in (ing.CORRUPT, ing.SOURCE)] for t in tables)
+    assert names == sorted([["Call\nID", "Start"], ["Numéro", "Start"], ["Call0", "call1", "_c2", "x"]])
