@@ -594,6 +594,24 @@ def entries():
         RAW_SQL + """ SELECT call_id, CASE WHEN call_type = 'inbound' THEN 'corrected' WHEN i % 5 <> 0 THEN outcome ELSE 'unknown' END
           AS outcome, call_type = 'inbound' AS late FROM raw""",
     )
+    def late_batch(spark, sf):
+        """Batches 10 and 20 are folded; then batch 15 arrives, and batch 20 again with other rows."""
+        root, i = new_folder(spark, "tables"), F.col("call_id").cast("bigint")
+        place = [F.lit("f").alias("file_path"), F.lit(0).alias("file_block"), F.lit(0).alias("row_seq")]
+        calls = event_calls(spark, sf).select("call_id", "timestamp", "outcome", *place)
+        st.write_batch(calls, root, 10)
+        st.write_batch(calls.where(i % 5 == 0).withColumn("outcome", F.lit("corrected")), root, 20)
+        st.compact(spark, root, "calls", AS_OF)
+        st.write_batch(calls.where(i % 3 == 0).withColumn("outcome", F.lit("late")), root, 15)
+        st.write_batch(calls.where(i % 10 == 0).withColumn("outcome", F.lit("again")), root, 20)
+        return st.current_calls(spark, root).select("call_id", "outcome", F.col("batch_seq").cast("int").alias("batch_seq"))
+
+    add(
+        "r2_late_batch",
+        late_batch,
+        RAW_SQL + """ SELECT call_id, CASE WHEN i % 10 = 0 THEN 'again' WHEN i % 3 = 0 THEN 'late' ELSE outcome END AS outcome,
+          CASE WHEN i % 10 = 0 THEN 20 WHEN i % 3 = 0 THEN 15 ELSE 10 END AS batch_seq FROM raw""",
+    )
     window_sql = """ SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H:%M:%S') AS window_start, agent_id,
         count(call_id) AS calls, count(*) FILTER (WHERE outcome = 'connected') AS connected_calls,
         round(avg(duration), 6) AS avg_duration, round(sum(revenue), 2) AS total_revenue FROM calls"""

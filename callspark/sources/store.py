@@ -17,6 +17,7 @@ from .ingest import SEQUENCE, file_inventory
 
 MANIFEST = "name string, version bigint, path string, format string, created_at timestamp, record_count bigint"
 COMPACTED = "name string, path string, batch_seq bigint, at timestamp"
+FOLDED = "path string, batch_seq bigint, stamp string"
 SNAPSHOTS = "name string, path string, created_at timestamp, record_count bigint"
 HISTORY = (
     "filename string, timestamp timestamp, records_imported bigint, status string, error string, file_size bigint"
@@ -141,38 +142,81 @@ def write_batch(df: DataFrame, root: str, batch_seq: int) -> str:
     return path
 
 
-def read_batches(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("basePath", f"{root}/batches").option("mergeSchema", True).parquet(f"{root}/batches")
+def read_batches(spark: SparkSession, root: str, numbers: list[int] | None = None) -> DataFrame:
+    """All batches, or those with the given numbers; the files of others are not opened."""
+    reader = spark.read.option("basePath", f"{root}/batches").option("mergeSchema", True)
+    return reader.parquet(*([f"{root}/batches"] if numbers is None else [f"{root}/batches/batch_seq={n}" for n in numbers]))
 
 
-def current_calls(
-    spark: SparkSession, root: str, key: str = "call_id", order: list[str] | None = None, name: str = "calls"
-) -> DataFrame:
-    """The call table: the last row per call of the newest compacted version and the batches after it.
+def batch_stamps(spark: SparkSession, root: str) -> dict[int, str]:
+    """Per batch a stamp of its files, from their names and sizes alone; one row per batch.
 
-    Batches are only ever appended, so an import costs its own size and not that of the table;
-    ``compact`` folds them into a version, and older batches are not read again.
+    A batch that is written again gets other files and so another stamp.
     """
-    sequence = ["batch_seq", *(order or SEQUENCE)]
-    folded = _read_or_empty(spark, f"{root}/_compacted", COMPACTED).where(F.col("name") == name).orderBy(F.desc("at")).first()
+    files = file_inventory(spark, f"{root}/batches", glob="*.parquet")
+    number = F.regexp_extract("path", "/batch_seq=(-?[0-9]+)/", 1).try_cast("bigint")
+    listed = F.array_sort(F.collect_set(F.concat_ws(":", "name", "size")))
+    stamps = files.groupBy(number.alias("n")).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("stamp"))
+    return {r["n"]: r["stamp"] for r in stamps.where("n IS NOT NULL").collect()}
+
+
+def _folded(spark: SparkSession, root: str, name: str) -> tuple[str, dict[int, str]] | None:
+    """Path of the newest compacted version and the stamps of the batches in it."""
+    newest = _read_or_empty(spark, f"{root}/_compacted", COMPACTED).where(F.col("name") == name).orderBy(F.desc("at")).first()
+    if newest is None:
+        return None
+    rows = _read_or_empty(spark, f"{root}/_folded", FOLDED).where(F.col("path") == newest["path"])
+    return newest["path"], {r["batch_seq"]: r["stamp"] for r in rows.collect()}
+
+
+def _current(spark: SparkSession, root: str, key: str, order: list[str], name: str, stamps: dict[int, str]) -> DataFrame:
+    folded = _folded(spark, root, name)
     if folded is None:
-        return latest(read_batches(spark, root), key, sequence)
-    rows = spark.read.parquet(folded["path"])
-    later = read_batches(spark, root).where(F.col("batch_seq") > folded["batch_seq"])
-    if not later.isEmpty():
-        rows = rows.unionByName(later, allowMissingColumns=True)
-    return latest(rows, key, sequence).select(*[c for c in rows.columns if c != "call_date"])
+        return latest(read_batches(spark, root, sorted(stamps) or None), key, order)
+    path, known = folded
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "call_date"]
+    replaced = sorted(n for n in known if n in stamps and stamps[n] != known[n])
+    live = sorted(n for n in stamps if known.get(n) != stamps[n])
+    kept = sorted(n for n in known if stamps.get(n) == known[n])
+    if replaced:
+        # Calls whose last row stood in a replaced batch are found again in the batches that stay.
+        gone = F.col("batch_seq").isin(replaced)
+        keys = rows.where(gone).select(F.col(key).alias("_key"))
+        rows = rows.where(~gone)
+        if kept:
+            older = read_batches(spark, root, kept)
+            rows = rows.unionByName(older.join(keys, older[key].eqNullSafe(F.col("_key")), "left_semi"), allowMissingColumns=True)
+    if live:
+        rows = rows.unionByName(read_batches(spark, root, live), allowMissingColumns=True)
+        columns += [c for c in rows.columns if c not in [*columns, "call_date"]]
+    return latest(rows, key, order).select(*columns)
 
 
-def compact(spark: SparkSession, root: str, name: str, as_of: datetime) -> str:
-    """Write the current calls as a new version, partitioned by day, and note the last batch in it.
+def current_calls(
+    spark: SparkSession, root: str, key: str = "call_id", order: list[str] | None = None, name: str = "calls"
+) -> DataFrame:
+    """The call table: the last row per call of the newest compacted version and of the batches that are not in it.
 
-    A batch that is replayed or arrives late under a number up to that one needs a compaction
-    without the old version; new batches have higher numbers.
+    Batches are only ever appended or replaced, so an import costs its own size and not that of
+    the table; ``compact`` folds them into a version and notes which ones, so their files are
+    not opened again. A batch that arrives late is merged by its number, whatever was folded
+    before. A folded batch that was replaced since takes its rows out of the version, and the
+    calls they stood for are looked up in the other batches.
     """
-    last = read_batches(spark, root).agg(F.max("batch_seq")).first()[0]
-    path = save_table(by_day(current_calls(spark, root, name=name)), root, name, as_of, partition_by=["call_date"])
-    _append(spark, f"{root}/_compacted", COMPACTED, (name, path, last, as_of))
+    return _current(spark, root, key, ["batch_seq", *(order or SEQUENCE)], name, batch_stamps(spark, root))
+
+
+def compact(
+    spark: SparkSession, root: str, name: str, as_of: datetime, key: str = "call_id", order: list[str] | None = None
+) -> str:
+    """Write the current calls as a new version, partitioned by day, and note the batches in it."""
+    stamps = batch_stamps(spark, root)  # batches that arrive meanwhile are not in the version
+    rows = _current(spark, root, key, ["batch_seq", *(order or SEQUENCE)], name, stamps)
+    path = save_table(by_day(rows), root, name, as_of, partition_by=["call_date"])
+    noted = spark.createDataFrame([(path, n, stamp) for n, stamp in sorted(stamps.items())], FOLDED)
+    noted.coalesce(1).write.mode("append").parquet(f"{root}/_folded")
+    _append(spark, f"{root}/_compacted", COMPACTED, (name, path, max(stamps), as_of))
     return path
 
 

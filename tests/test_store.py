@@ -143,6 +143,35 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_late_and_replaced_batches_after_compaction(spark, tmp_path):
+    """Every order of arrivals gives the last row per call by batch number, and folded files stay shut."""
+    root = str(tmp_path)
+    stamp = datetime(2024, 1, 1)
+
+    def batch(number, rows):
+        data = [(k, v, stamp, "f", 0, i) for i, (k, v) in enumerate(rows)]
+        st.write_batch(spark.createDataFrame(data, "call_id string, v string, timestamp timestamp_ntz, file_path string, file_block int, row_seq long"), root, number)
+
+    def now():
+        return {r["call_id"]: r["v"] for r in st.current_calls(spark, root).collect()}
+
+    batch(3, [("a", "a3"), ("b", "b3"), ("c", "c3"), (None, "n3")])
+    batch(7, [("b", "b7"), ("d", "d7"), ("d", "d7 again")])
+    st.compact(spark, root, "calls", AS_OF)
+    assert now() == {"a": "a3", "b": "b7", "c": "c3", "d": "d7 again", None: "n3"}
+    assert not any("/batches/" in f for f in st.current_calls(spark, root).inputFiles())
+    batch(5, [("a", "a5"), ("b", "b5")])  # late: wins over 3, not over 7
+    assert now() == {"a": "a5", "b": "b7", "c": "c3", "d": "d7 again", None: "n3"}
+    assert all("batch_seq=5" in f for f in st.current_calls(spark, root).inputFiles() if "/batches/" in f)
+    batch(7, [("d", "d7 new"), ("e", "e7")])  # replaced: b falls back to the late batch
+    assert now() == {"a": "a5", "b": "b5", "c": "c3", "d": "d7 new", "e": "e7", None: "n3"}
+    st.compact(spark, root, "calls", datetime(2024, 2, 2))
+    assert now() == {"a": "a5", "b": "b5", "c": "c3", "d": "d7 new", "e": "e7", None: "n3"}
+    assert not any("/batches/" in f for f in st.current_calls(spark, root).inputFiles())
+    batch(3, [(None, "n3 new")])  # c stood in no other batch
+    assert now() == {"a": "a5", "b": "b5", "d": "d7 new", "e": "e7", None: "n3 new"}
+
+
 def test_kpi_stream_appends_closed_windows(spark, tmp_path):
     rows = spark.sql(
         """SELECT * FROM VALUES ('1', TIMESTAMP '2024-01-01 10:05:00', 'a', 'connected', 10.0D, 1.0D),
