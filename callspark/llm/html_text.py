@@ -17,11 +17,15 @@ from .batches import bounded_batches
 WINDOW_LINES = 3
 SURGE_CHARS = 40
 
+# Every part takes what it can and gives nothing back, and only values in quotes reach beyond a
+# "<", so a page is read in one pass however malformed it is. A tag without ">" ends at the next "<".
+_VALUES = r"""=\s*+"[^"]*+"|=\s*+'[^']*+'"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|head|textarea|select|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|(?=<body\b)|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    r"<!--(?:.*?-->|.*+)|<!\[CDATA\[(?:.*?\]\]>|.*+)"
+    r"|<(script|style|noscript|template|svg|math|iframe|object|head|textarea|select|canvas|audio|video)\b(?:" + _VALUES + r"|[^<>/]|/(?!>))*+"
+    r"(?:/>|(?=<)|>.*?(?:</\1\s*+>|(?=<body\b)|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:" + _VALUES + r"|[^<>])*+)(?:>|(?=<)|\Z)"
+    r"|<[!?/][^<>]*+(?:>|(?=<)|\Z)",
     re.S | re.I,
 )
 _BLOCKS = frozenset(
@@ -39,6 +43,12 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: First words of a class that tell about the page and not about the element: has-sidebar, no-comments.
 _STATE = frozenset("has have with without no is not".split())
+#: Words that only tell what kind of element a class is for: share-buttons, related-posts.
+_PARTS = frozenset(
+    "area articles aside bar block body bottom box button buttons card cards cell col column container content count feed group head heading "
+    "icon icons info inline inner item items label left line link links list main message more outer panel popular post posts right row section "
+    "slot spot stories strip text thread title top unit us widget wrap wrapper zone".split()
+)
 _NOT_MAIN = re.compile(
     r"(?:ads?|adsense|adslot|advert\w*|adverts?|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notifications?|alert|"
     r"popup|modal|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|sidebar|side|rail|menus?|nav|navbar|"
@@ -70,8 +80,10 @@ def _is_dropped(name: str, attributes: str, in_container: bool) -> bool:
             return True
         if key in ("class", "id") and name != "main":
             tokens = [[w.lower() for w in _WORD.findall(token)] for token in value.split()]
-            words = [w for token in tokens if token and token[0] not in _STATE for w in token]
-            if any(_NOT_MAIN.fullmatch(w) for w in words) and not (name in ("h1", "h2", "p") and key == "id"):
+            tokens = [token for token in tokens if token and token[0] not in _STATE]
+            if in_container:  # a heading's words, as in search-algorithms or side-effects, drop nothing
+                tokens = [token for token in tokens if all(w in _PARTS or _NOT_MAIN.fullmatch(w) for w in token)]
+            if any(_NOT_MAIN.fullmatch(w) for token in tokens for w in token) and not (name in ("h1", "h2", "p") and key == "id"):
                 return True
     return False
 

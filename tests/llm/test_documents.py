@@ -324,3 +324,34 @@ def test_co_training_teaches_the_weaker_view():
     scores = model.scores(a[2000:], b[2000:])
     right = ((scores >= 0.5) == (y[2000:, None] == 1)).mean(axis=0)
     assert right[2] >= right[1] - 0.02 and right[2] > 0.9
+
+
+@pytest.mark.parametrize(
+    "piece", ["<div ", '<a "', "<a '", "<div =\"", "<script ", "<!", "</", "<!--", "<![CDATA[", "<svg>x</svg ", "<p title=don't>", "<a \"x' ", "< = ", "<style>"]
+)
+def test_malformed_pages_take_time_in_proportion(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+    story = "<p>" + "A sentence of the story that is long enough to stay. " * 4 + "</p>"
+    assert "sentence of the story" in html_text.main_text(f"<article>{story * 3}</article>{piece * 3}")
+
+
+def test_tags_without_an_end_and_quotes_in_tags():
+    story = "A sentence of the story that is long enough to stay, and then some more of it."
+    page = f"<article><p title=don't>{story}</p><p data-x=\"a < b > c\">{story}</p><p class='x' {'<b'}>{story}</b></p><script data-x=\"a<b\">code()</script></article>"
+    assert html_text.main_text(page) == "\n".join([story] * 3)
+
+
+@pytest.mark.parametrize(
+    ("element", "stays"),
+    [("section id='search-algorithms'", True), ("div class='legal-analysis'", True), ("div class='side-effects'", True), ("section id='form-and-function'", True),
+     ("p class='related-work'", True), ("div class='share-buttons'", False), ("div class='related-posts'", False), ("div class='newsletter-signup'", False), ("aside", False)],
+)
+def test_sections_of_an_article_named_by_their_subject_stay(element, stays):
+    story = "A sentence of the story that is long enough to stay, and then some more of it. " * 2
+    page = f"<body><article><h1>Title</h1><p>{story}</p><{element}>{story} within</{element.split()[0]}><p>{story}</p></article></body>"
+    assert ("within" in html_text.main_text(page)) == stays
