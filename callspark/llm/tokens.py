@@ -14,10 +14,16 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .batches import steps
 
 #: Words that a Python worker keeps; later ones are encoded again for each batch.
 CACHE_WORDS = 250_000
 _JOINED = 256
+#: Characters of text that are worked on together; only memory depends on it.
+_STEP_CHARS = 1 << 22
 _ENDS = ".,;:!?"
 
 
@@ -29,8 +35,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
+        self.added_tokens = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, self.added_tokens))) if self.added_tokens else None
         blank = next(iter(self.library.encode(" ", add_special_tokens=False).tokens))
         self.starts_word = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
@@ -58,29 +64,56 @@ class WordTokenizer:
                     known[word] = self.whole(" " + word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
-        first = [words.pop(0) for words in split]
-        unknown: set[str] = set()
-        for words in split:
-            unknown.update(words)
-        unknown = unknown.difference(self.words)
-        torn = {w for w in unknown if not w or w[-1].isspace() or self.added and self.added.search(w)}
-        unknown -= torn
-        ended = [(w, stem) for w in unknown if w[-1] in self.ends and (stem := w[:-1]).isalpha()]
-        unknown.difference_update(w for w, _ in ended)
-        unknown.update(stem for _, stem in ended if stem not in self.words)
+        out: list[bytes] = []
+        sizes = np.cumsum([0, *(len(t) for t in texts)])
+        for i, j in steps(sizes, _STEP_CHARS):
+            out += self._encode(texts[i:j])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Words are split, told apart and put together again by arrays; only different ones are handled one by one."""
+        column = pa.array(texts, pa.large_string())
+        split = pc.split_pattern(column, " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        places, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        starts = places[bounds[:-1]]
+        later = np.ones(len(places), bool)
+        later[bounds[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[places[later]] = True
+        ids = list(map(self.words.get, words))
+        new = [i for i in np.flatnonzero(used).tolist() if ids[i] is None]
+        torn = np.zeros(len(words) + len(texts), bool)
+        torn[[i for i in new if not (w := words[i]) or w[-1].isspace() or self.added and self.added.search(w)]] = True
+        new = [i for i in new if not torn[i]]
         known = self.words if len(self.words) < CACHE_WORDS else _Later(self.words)
-        self._learn(list(unknown), known)
+        self._learn_all([words[i] for i in new], known)
+        for i in new:
+            ids[i] = known[words[i]]
+        ids = [x or b"" for x in ids]
+        # The first word of a text has no blank before it and is encoded on its own.
+        ids += [self.whole(words[i]) for i in starts.tolist()]
+        places[bounds[:-1]] = np.arange(len(words), len(words) + len(texts))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        data, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[places]
+        ends = np.append(0, np.cumsum(n))
+        whole = data[np.arange(ends[-1]) + np.repeat(begin[places] - ends[:-1], n)].tobytes()
+        at = (4 * ends[bounds]).tolist()
+        odd = np.add.reduceat(torn[places], bounds[:-1]) > 0
+        odd |= np.array([words[i][-1:].isspace() for i in starts.tolist()])
+        for token in self.added_tokens:
+            odd |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        return [self.whole(text) if o else whole[at[i] : at[i + 1]] for i, (text, o) in enumerate(zip(texts, odd.tolist(), strict=True))]
+
+    def _learn_all(self, unknown: list[str], known: dict[str, bytes]) -> None:
+        ended = [(w, stem) for w in unknown if w[-1] in self.ends and (stem := w[:-1]).isalpha()]
+        rest = set(unknown).difference(w for w, _ in ended)
+        rest.update(stem for _, stem in ended if stem not in self.words)
+        self._learn(list(rest), known)
         for word, stem in ended:
             known[word] = known[stem] + self.ends[word[-1]]
-        ids = known.__getitem__
-        out = []
-        for text, start, words in zip(texts, first, split, strict=True):
-            if start[-1:].isspace() or not torn.isdisjoint(words) or self.added and self.added.search(text):
-                out.append(self.whole(text))
-            else:
-                out.append(self.whole(start) + b"".join(map(ids, words)))
-        return out
 
 
 class _Later(dict):
