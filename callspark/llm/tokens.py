@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from .batches import steps
 
 #: Words that a Python worker keeps; later ones are encoded again for each batch.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 _JOINED = 256
 #: Characters of text that are worked on together; only memory depends on it.
-_STEP_CHARS = 1 << 22
+_STEP_CHARS = 1 << 23
 _ENDS = ".,;:!?"
 
 
