@@ -7,31 +7,40 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
+#: Bucket of each step, and its length in a unit.
 STEPS = {
-    "hourly": ("hour", "interval 1 hour"),
-    "daily": ("day", "interval 1 day"),
-    "weekly": ("week", "interval 7 days"),
-    "monthly": ("month", "interval 1 month"),
+    "hourly": ("hour", "hour", 1),
+    "daily": ("day", "day", 1),
+    "weekly": ("week", "day", 7),
+    "monthly": ("month", "month", 1),
 }
 
+#: Buckets that one array holds while a span is filled.
+PIECE = 1_000
+
+
+def _spine(spans: DataFrame, keys: list[str], unit: str, count: int, name: str) -> DataFrame:
+    """Every bucket from ``a`` to ``b`` as a row, in pieces, so that no span becomes one array."""
+    step = lambda n: F.expr(f"interval {n * count} {unit}")
+    pieces = spans.select(*keys, "b", F.explode(F.sequence("a", "b", step(PIECE))).alias("piece"))
+    end = F.least(F.col("b"), F.col("piece") + step(PIECE - 1))
+    return pieces.select(*keys, F.explode(F.sequence("piece", end, step(1))).alias(name))
+
+
 def volume_series(df: DataFrame, step: str = "daily", group: str | None = None) -> DataFrame:
     """Calls per bucket with empty buckets as 0; each group spans its own first to last.
 
     Weeks are labelled by their Sunday, months by their last day.
     """
-    unit, interval = STEPS.get(step, STEPS["daily"])
+    unit, of, count = STEPS.get(step, STEPS["daily"])
     keys = [group] if group else []
     dated = df.where(F.col("timestamp").isNotNull())
     if group:
         dated = dated.where(F.col(group).isNotNull())
     start = F.date_trunc(unit, "timestamp").cast("timestamp_ntz")
     counts = dated.groupBy(*keys, start.alias("start")).agg(F.count(F.lit(1)).alias("calls"))
-    spine = (
-        counts.groupBy(*keys)
-        .agg(F.min("start").alias("a"), F.max("start").alias("b"))
-        .where("a is not null")
-        .select(*keys, F.explode(F.sequence("a", "b", F.expr(interval))).alias("start"))
-    )
+    spans = counts.groupBy(*keys).agg(F.min("start").alias("a"), F.max("start").alias("b")).where("a is not null")
+    spine = _spine(spans, keys, of, count, "start")
     label = {
         "week": F.date_format(F.date_add("start", 6), "yyyy-MM-dd"),
         "month": F.date_format(F.last_day("start"), "yyyy-MM-dd"),
@@ -52,11 +61,8 @@ def moving_averages(
     value = F.count(F.lit(1)).cast("double") if column == "calls" else F.avg(column)
     dated = df.where(F.col("timestamp").isNotNull())
     daily = dated.groupBy(day.alias("day")).agg(value.alias("value"))
-    spine = (
-        daily.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-        .where("a is not null")
-        .select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
-    )
+    spans = daily.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
+    spine = _spine(spans, [], "day", 1, "day").withColumn("day", F.col("day").cast("date"))
     series = spine.join(daily, "day", "left")
     if column == "calls":
         series = series.fillna(0.0, ["value"])

@@ -198,7 +198,7 @@ def entries():
         "weekly": "strftime(b + INTERVAL 6 DAY, '%Y-%m-%d')",
         "monthly": "strftime(last_day(b), '%Y-%m-%d')",
     }
-    for step, (unit, _) in s.STEPS.items():
+    for step, (unit, *_) in s.STEPS.items():
         span = "INTERVAL 7 DAY" if step == "weekly" else f"INTERVAL 1 {unit.upper()}"
         for group in (None, "agent_id") if step in ("hourly", "daily") else (None,):
             k = f"{group}, " if group else ""

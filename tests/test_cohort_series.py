@@ -97,3 +97,24 @@ def test_many_groups_rank_like_one_window(spark):
     rows = sorted(((r["k"], r["v"]) for r in df.collect()), key=lambda r: (-r[1], r[0]))
     want = [(k, v, i + 1) for i, (k, v) in enumerate(rows)]
     assert sorted(tuple(r) for r in s.rank_groups(df, "v", "k").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1_000])
+@pytest.mark.parametrize("step", ["hourly", "daily", "weekly", "monthly"])
+def test_spans_are_filled_in_pieces(spark, monkeypatch, piece, step):
+    """The same buckets whatever the size of a piece, and none twice."""
+    calls = spark.sql(
+        """SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-31 23:10:00'), ('a', TIMESTAMP_NTZ '2024-03-30 01:00:00'),
+        ('b', TIMESTAMP_NTZ '2024-02-29 00:00:00') AS t(agent_id, timestamp)"""
+    )
+    want = sorted(map(tuple, s.volume_series(calls, step, "agent_id").collect()))
+    monkeypatch.setattr(s, "PIECE", piece)
+    got = sorted(map(tuple, s.volume_series(calls, step, "agent_id").collect()))
+    assert got == want and len({r[:2] for r in got}) == len(got) and sum(r[2] for r in got) == 3
+    if step == "hourly":
+        assert len([r for r in got if r[0] == 'a']) == 24 * 58 + 3
+
+
+def test_a_date_far_away_fills_millions_of_buckets(spark):
+    calls = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '2024-01-01'), (TIMESTAMP_NTZ '9999-12-31 05:00:00') AS t(timestamp)")
+    assert s.volume_series(calls, "daily").agg(F.sum("calls"), F.count("*")).first() == (2, 2_913_174)
