@@ -11,9 +11,9 @@ whose gram occurs again can belong to a repeated window, and only these are sort
 2. Different contexts of a gram are sorted by what follows and by what precedes it, reversed:
    multikey quicksort to a shallow depth, then blind tries for what still shares a prefix. The
    longest common prefixes of the two orders tell which windows occur in another context.
-3. A gram with many contexts is divided by where its windows start: all windows of one half
-   share a longer string, which is the gram of the next round. A round halves the range of
-   starts, so there are at most log2(window) rounds, and no task gets more than
+3. A gram with many contexts is divided by where its windows start: all windows of one part
+   share a longer string, which is the gram of the next round. A round quarters the range of
+   starts, so there are at most log4(window) + 1 rounds, and no task gets more than
    ``group_contexts`` contexts of one gram.
 """
 
@@ -34,6 +34,8 @@ GRAM = 128
 GROUP_CONTEXTS = 200
 #: Bytes that multikey quicksort looks at, so many at a time; longer common prefixes go to blind tries.
 SHALLOW, DIGIT = 16, 4
+#: Ranges of starts that a gram with many contexts is divided into each round.
+PARTS = 4
 #: A longer text is searched in parts of so many bytes that overlap by a window.
 PART_BYTES = 1 << 23
 _PLACE_BITS = np.uint64(24)
@@ -246,15 +248,16 @@ def _sort_groups(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, context long, low int, high int")
 
 
-def _halves(rows: DataFrame, window: int) -> DataFrame:
-    """Both halves of each context, keyed by the bytes that all windows of the half share."""
+def _divided(rows: DataFrame, window: int) -> DataFrame:
+    """The ``PARTS`` parts of each context, keyed by the bytes that all windows of the part share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for gram, context, low, high, least, most, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                middle = (low + high) // 2
-                for c0, c1 in ((low, middle), (middle + 1, high)):
+                step = -(-(high - low + 1) // PARTS)
+                for c0 in range(low, high + 1, step):
+                    c1 = min(high, c0 + step - 1)
                     a, b = max(least, c0), min(most, c1)
                     if a <= b:
                         part, core = data[most - b : most - a + window], data[most - c0 : most - c1 + window]
@@ -287,18 +290,18 @@ def repeated_in_contexts(contexts: DataFrame, window: int, gram: int, group_cont
     rows = written(contexts, "contexts")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n_subs"))
     rows, width, found = rows.join(sizes, "key"), window - gram, []
-    while True:
-        found.append(_sort_groups(rows.where(F.col("n_subs") <= group_contexts)))
+    while True:  # each round is written by a job of its own, so that no plan grows with the rounds
+        found.append(written(_sort_groups(rows.where(F.col("n_subs") <= group_contexts)), "sorted-starts"))
         large = rows.where(F.col("n_subs") > group_contexts)
         if not width or large.isEmpty():
             break
-        rows, equal = _collapse(written(_halves(large, window), "halves"))
-        rows, width = written(rows, "half-contexts"), width // 2
-        found.append(equal)
+        rows, equal = _collapse(written(_divided(large, window), "divided"))
+        rows, width = written(rows, "divided-contexts"), width // PARTS
+        found.append(written(equal, "equal-starts"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return written(out, "repeated-starts")
+    return out
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
