@@ -139,14 +139,15 @@ def fit(
 
     totals = (
         sample.select("_text", "_y").mapInArrow(count, "f long, n0 long, n1 long").groupBy("f")
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     )
     share = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = share.get(0, 0), share.get(1, 0)
     if not n0 or not n1:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log((n1 + 1) / (n0 + 1))))
-    ratio = np.log((totals["n1"].to_numpy() + 1) / (n1 + 2)) - np.log((totals["n0"].to_numpy() + 1) / (n0 + 2))
-    often = (totals["n0"] + totals["n1"]).to_numpy() >= 3
+    in0, in1 = totals["n0"].to_numpy(), totals["n1"].to_numpy()
+    ratio = np.log((in1 + 1) / (n1 + 2)) - np.log((in0 + 1) / (n0 + 2))
+    often = in0 + in1 >= 3
     order = np.argsort(-np.abs(ratio) * often, kind="stable")[:SELECTED]
     order = order[often[order]]
     feature, ratio = totals["f"].to_numpy()[order], ratio[order]
