@@ -14,6 +14,7 @@ from ..schema import record_rules, typed_calls
 from ..session import new_folder
 from ..sources import export as ex
 from ..sources import ingest as ing
+from ..sources import rollups
 from ..sources import store as st
 from ..streaming import imports as stream
 from .rounding import rounded
@@ -620,6 +621,41 @@ def entries():
     )
     calls("r3_window_kpis", lambda c: tidy(stream.window_kpis(c)), window_sql + " GROUP BY 1, 2")
 
+    def refreshed(spark, sf):
+        """A rollup taken through three batches: half of the calls, the rest with corrections, a late one."""
+        root, i = new_folder(spark, "tables"), F.col("call_id").cast("bigint")
+        place = [F.lit("f").alias("file_path"), F.lit(0).alias("file_block"), F.lit(0).alias("row_seq")]
+        calls = event_calls(spark, sf).select("call_id", "timestamp", "outcome", "duration", "revenue", "agent_id", *place)
+        moved = calls.where(i % 5 == 0).withColumn("agent_id", F.lit("moved")).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 40 DAYS"))
+        late = calls.where(i % 3 == 0).withColumn("outcome", F.lit("connected")).withColumn("revenue", F.lit(2.5))
+        for number, rows in ((10, calls.where(i % 2 == 0)), (30, calls.where(i % 2 == 1).unionByName(moved.where(i % 2 == 0))), (20, late)):
+            st.write_batch(rows, root, number)
+            rollups.refresh_rollup(spark, root, "hourly")
+        return root
+
+    # the last batch wins per call: 30 has odd calls as they are and even multiples of 5 moved, 20 the other multiples of 3
+    refreshed_sql = """, now AS (SELECT call_id, CASE WHEN i % 10 = 0 THEN "timestamp" + INTERVAL 40 DAY ELSE "timestamp" END AS "timestamp",
+        CASE WHEN i % 6 = 0 AND i % 10 <> 0 THEN 'connected' ELSE outcome END AS outcome, duration,
+        CASE WHEN i % 6 = 0 AND i % 10 <> 0 THEN 2.5 ELSE revenue END AS revenue,
+        CASE WHEN i % 10 = 0 THEN 'moved' ELSE agent_id END AS agent_id
+      FROM (SELECT *, CAST(call_id AS BIGINT) AS i FROM calls))"""
+    exact = "round(CAST(sum(CAST(duration AS DECIMAL(38, 9))) AS DOUBLE) / count(duration), 6) AS avg_duration"
+    add(
+        "r3_rollup_kpis",
+        lambda spark, sf: tidy(rollups.rollup_kpis(spark, refreshed(spark, sf), "hourly")),
+        refreshed_sql + window_sql.replace("FROM calls", "FROM now").replace("round(avg(duration), 6) AS avg_duration", exact) + " GROUP BY 1, 2",
+    )
+    for period, unit in rollups.PERIODS.items():
+        add(
+            f"a10_rollup_trends_{period}",
+            lambda spark, sf, period=period: rounded(
+                rounded(rollups.rollup_trends(spark, refreshed(spark, sf), "hourly", period), "connection_rate", "avg_duration"), "total_revenue", digits=2
+            ),
+            refreshed_sql + f""" SELECT strftime(date_trunc('{unit}', "timestamp"), '%Y-%m-%d') AS period, count(call_id) AS calls,
+              round(count(*) FILTER (WHERE outcome = 'connected') * 100.0::DOUBLE / count(*), 6) AS connection_rate,
+              {exact}, round(sum(revenue), 2) AS total_revenue FROM now GROUP BY 1""",
+        )
+
     def kpis(spark, sf):
         path, state = new_folder(spark, "kpi"), new_folder(spark, "state")
         source = new_folder(spark, "events")

@@ -3,9 +3,11 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from callspark.operators import metrics
 from callspark.schema import MissingColumns, record_rules, typed_calls
 from callspark.sources import export as ex
 from callspark.sources import ingest as ing
+from callspark.sources import rollups
 from callspark.sources import store as st
 from callspark.streaming import imports as stream
 
@@ -219,3 +221,37 @@ def test_headers_over_two_lines_and_other_charsets(spark, tmp_path):
     tables = ing.csv_layouts(spark, str(tmp_path))
     names = sorted([c for c in t.columns if c not in (ing.CORRUPT, ing.SOURCE)] for t in tables)
     assert names == sorted([["Call\nID", "Start"], ["Numéro", "Start"], ["Call0", "call1", "_c2", "x"]])
+
+
+def test_rollup_equals_full_query_after_any_batch(spark, tmp_path):
+    """New, late, corrected and replaced batches, calls that change day or key, null ids and times."""
+    root, made = str(tmp_path), []
+
+    def batch(number, rows):
+        data = [(k, t and datetime.fromisoformat(t), o, d, r, a, "f", 0, i) for i, (k, t, o, d, r, a) in enumerate(rows)]
+        kind = "call_id string, timestamp timestamp_ntz, outcome string, duration double, revenue double, agent_id string"
+        st.write_batch(spark.createDataFrame(data, kind + ", file_path string, file_block int, row_seq long"), root, number)
+
+    def same():
+        made.append(rollups.refresh_rollup(spark, root, "hourly", most_layers=2))
+        calls = st.current_calls(spark, root)
+        want = stream.window_kpis(calls.where("timestamp is not null")).collect()
+        got = rollups.rollup_kpis(spark, root, "hourly").collect()
+        key = lambda r: (r[0], r[1] or "")
+        assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
+        for period in metrics.PERIODS if len(made) == 5 else ["daily"]:
+            assert rollups.rollup_trends(spark, root, "hourly", period).collect() == metrics.trends(calls, period).collect()
+
+    first = [("a", "2024-01-01T10:05", "connected", 60.0, 0.125, "x"), ("b", "2024-01-01T10:59", "busy", None, 0.25, "x"),
+             ("c", "2024-01-31T23:59:59", "connected", 5.5, None, None), (None, "2024-01-02T00:00", None, 1.0, 0.375, "y"), ("d", None, "busy", 9.0, 1.0, "y")]
+    batch(10, first)
+    same()
+    batch(20, [("a", "2024-02-01T11:00", "busy", 61.0, 0.75, "y"), ("b", "2024-01-01T10:59", "busy", 2.0, 0.25, "x"),
+               ("b", "2024-01-01T10:59", "connected", 3.0, 0.25, "x"), ("d", "2024-01-05T08:00", "busy", 9.0, 1.0, "y")])
+    same()
+    batch(15, [("a", "2024-03-01T00:00", "late", 1.0, 1.0, "z"), ("c", "2024-01-01T10:10", "late", 1.5, 4.0, "x"), ("e", "2024-01-01T10:10", "late", 1.5, 4.0, "x")])
+    same()
+    made.append(rollups.refresh_rollup(spark, root, "hourly", most_layers=2))
+    batch(20, [("e", "2024-01-01T12:10", "connected", 7.0, 4.0, "x")])
+    same()
+    assert made == [[10], [20], [15], [], [10, 15, 20]]
