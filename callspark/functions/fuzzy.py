@@ -8,6 +8,7 @@ keywords, and a letter count that bounds the ratio from above leaves few pairs t
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
+@lru_cache(maxsize=1 << 16)
 def ratio(a: str, b: str) -> int:
     """2 * matching characters / all characters, as a whole percent."""
     return int(round(100 * SequenceMatcher(None, a, b).ratio()))
@@ -77,12 +79,19 @@ def near_matches(texts: list[str], keywords: list[str], percent: float) -> list[
     return found
 
 
-def near_keywords(text: Column, keywords: list[str], threshold: float) -> Column:
-    """Keywords with a near match. ``threshold`` is a share, 0.85 in the default rules."""
+def near_keywords(texts: list[Column], keywords: list[str], threshold: float) -> Column:
+    """For each of ``texts`` an array of the keywords with a near match, all in one pass.
 
-    @F.pandas_udf("array<string>")
-    def near(texts: pd.Series) -> pd.Series:
-        hits = near_matches(list(texts.fillna("").str.lower()), keywords, threshold * 100)
-        return pd.Series([[k for k in keywords if k in h] for h in hits], index=texts.index)
+    ``threshold`` is a share, 0.85 in the default rules. Equal texts of a batch are compared
+    once, and a pair of a word and a keyword is scored once per worker, as long as it is kept.
+    """
 
-    return near(text)
+    @F.pandas_udf("array<array<string>>")
+    def near(*columns: pd.Series) -> pd.Series:
+        place, distinct = pd.factorize(pd.concat(columns, ignore_index=True).fillna("").str.lower())
+        hits = near_matches(list(distinct), keywords, threshold * 100)
+        found = [[k for k in keywords if k in h] for h in hits]
+        rows = place.reshape(len(columns), -1).T.tolist()
+        return pd.Series([[found[i] for i in row] for row in rows], index=columns[0].index, dtype=object)
+
+    return near(*texts)

@@ -94,7 +94,7 @@ def _matches(candidates: Column | None, lower_text: Column, near: Column | None)
     return F.filter(candidates, is_hit)
 
 
-def _prepare(df: DataFrame, text: str, rules: dict[str, Any]) -> DataFrame:
+def _prepare(df: DataFrame, text: str, rules: dict[str, Any], with_tail: bool = True) -> DataFrame:
     """Lower-case text and last part, and the near keywords of both when fuzzy is on."""
     scoring = rules.get("scoring", {})
     t = F.coalesce(F.col(text), F.lit(""))
@@ -106,8 +106,8 @@ def _prepare(df: DataFrame, text: str, rules: dict[str, Any]) -> DataFrame:
     if scoring.get("fuzzy_matching", True):
         threshold = float(scoring.get("fuzzy_threshold", 0.85))
         keys = _all_keywords(rules)
-        out = out.withColumn("_near", near_keywords(F.col("_lower"), keys, threshold))
-        out = out.withColumn("_near_tail", near_keywords(F.col("_tail"), keys, threshold))
+        out = out.withColumn("_nears", near_keywords([F.col("_lower"), *[F.col("_tail")] * with_tail], keys, threshold))
+        out = out.withColumns({"_near": F.col("_nears")[0], **({"_near_tail": F.col("_nears")[1]} if with_tail else {})})
     return out
 
 
@@ -117,7 +117,7 @@ def _near(df: DataFrame, name: str) -> Column | None:
 
 def keyword_hits(df: DataFrame, key: str, text: str, rules: dict[str, Any] = LABEL_RULES) -> DataFrame:
     """(key, section, label, keyword) for every keyword that matches the text."""
-    ready = _prepare(df, text, rules)
+    ready = _prepare(df, text, rules, with_tail=False)
     hits = []
     for section in ("connection", "call_types", "outcomes"):
         found = _matches(_candidates(rules, section), F.col("_lower"), _near(ready, "_near"))
@@ -242,7 +242,7 @@ def label_details(
             "result",
             _best(outcome_hits, rules.get("outcomes", {}), priorities.get("outcome_priority", []), "-", scoring),
         )
-        .drop("_lower", "_tail", "_near", "_near_tail")
+        .drop("_lower", "_tail", "_nears", "_near", "_near_tail")
     )
 
 

@@ -62,6 +62,32 @@ EXACT = {**lab.LABEL_RULES, "scoring": {**lab.LABEL_RULES["scoring"], "fuzzy_mat
 FUZZY = {**RULES, "scoring": {**RULES["scoring"], "fuzzy_matching": True}}
 
 
+#: Near matches (call_id, part, form) of keywords: words or word windows whose matching blocks, found
+#: longest first, make up the share. A segment is cut at its longest block into one on either side.
+NEAR_SQL = """forms(form, n) AS (SELECT DISTINCT lower(keyword), len({keyword_words}) FROM kw),
+      parts AS (SELECT call_id, 0 AS part, {text_words} AS ws FROM texts UNION ALL SELECT call_id, 1, {tail_words} FROM texts),
+      windows AS (SELECT DISTINCT call_id, part, n, array_to_string(ws[i:i + n - 1], ' ') AS gram
+        FROM (SELECT call_id, part, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM parts, (SELECT DISTINCT n FROM forms))),
+      pairs AS (SELECT DISTINCT gram, form FROM windows JOIN forms USING (n)
+        WHERE 200.0 * least(length(gram), length(form)) / (length(gram) + length(form)) >= {percent} - 1),
+      near_pairs AS (
+        WITH RECURSIVE segments(gram, form, a, b, c, d, matched) AS (
+          SELECT gram, form, 0::BIGINT, length(gram)::BIGINT, 0::BIGINT, length(form)::BIGINT, 0::BIGINT FROM pairs
+          UNION ALL
+          SELECT gram, form, CASE WHEN side = 0 THEN a ELSE best.k - best.i END, CASE WHEN side = 0 THEN -best.i ELSE b END,
+            CASE WHEN side = 0 THEN c ELSE best.k - best.j END, CASE WHEN side = 0 THEN -best.j ELSE d END,
+            CASE WHEN side = 0 THEN best.k ELSE 0 END
+          FROM (SELECT gram, form, a, b, c, d, max({{'k': k, 'i': -i, 'j': -j}}) AS best
+            FROM (SELECT *, unnest(range(1, least(b - i, d - j) + 1)) AS k
+              FROM (SELECT *, unnest(range(c, d)) AS j FROM (SELECT *, unnest(range(a, b)) AS i FROM segments))
+              WHERE gram[i + 1] = form[j + 1])
+            WHERE gram[i + 1:i + k] = form[j + 1:j + k] GROUP BY ALL), (VALUES (0), (1)) sides(side))
+        SELECT gram, form FROM segments GROUP BY 1, 2
+        HAVING round_even(100 * (2.0::DOUBLE * sum(matched) / (length(gram) + length(form))), 0) >= {percent}),
+      near AS (SELECT DISTINCT call_id, part, form FROM windows JOIN near_pairs USING (gram)),
+      """
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -98,13 +124,21 @@ def _ctes(rules) -> str:
         CASE WHEN least(1.0, score / {total}::DOUBLE) >= {low} THEN keys ELSE [] END AS keys
         FROM {tag}r WHERE rn = 1)"""
 
+    near, found, late = "", "contains(t, lower(keyword))", "contains(tail, lower(keyword))"
+    if rules["scoring"]["fuzzy_matching"]:
+        near = NEAR_SQL.format(
+            keyword_words=sql_words("keyword"), text_words=sql_words("t"), tail_words=sql_words("tail"), percent=rules["scoring"]["fuzzy_threshold"] * 100
+        )
+        found += " OR EXISTS (FROM near WHERE part = 0 AND near.call_id = texts.call_id AND form = lower(keyword))"
+        late += " OR EXISTS (FROM near WHERE part = 1 AND near.call_id = texts.call_id AND form = lower(keyword))"
+
     return f""", kw(section, label, pos, keyword, weight) AS (VALUES {rows}),
       texts AS (SELECT call_id, transcript, duration, lower(transcript) AS t,
         lower(CASE WHEN length(transcript) > 500
           THEN substring(transcript, CAST(floor(length(transcript) * 0.7::DOUBLE) AS INT) + 1) ELSE transcript END) AS tail,
         len({sql_words('transcript')}) AS n FROM calls),
-      hits AS (SELECT call_id, section, label, pos, keyword, weight, contains(tail, lower(keyword)) AS late
-        FROM texts JOIN kw ON contains(t, lower(keyword))),
+      {near}hits AS (SELECT call_id, section, label, pos, keyword, weight, {late} AS late
+        FROM texts, kw WHERE {found}),
       g AS (SELECT call_id, list(keyword ORDER BY pos) AS keys FROM hits
         WHERE section = 'connection' AND label = 'disconnection' GROUP BY 1),
       h AS (SELECT call_id, list(keyword ORDER BY pos) AS keys FROM hits
@@ -156,7 +190,11 @@ def entries():
         lambda c: lab.keyword_hits(c, "call_id", "transcript", RULES),
         _ctes(RULES) + "SELECT call_id, section, label, keyword FROM hits",
     )
-    add("l1_fuzzy_keyword_hits", lambda c: lab.keyword_hits(c, "call_id", "transcript", FUZZY), None)
+    add(
+        "l1_fuzzy_keyword_hits",
+        lambda c: lab.keyword_hits(c, "call_id", "transcript", FUZZY),
+        _ctes(FUZZY) + "SELECT call_id, section, label, keyword FROM hits",
+    )
     add(
         "l2_connection_status",
         lambda c: detail(c, "connection"),
@@ -186,7 +224,11 @@ def entries():
         lambda c: rounded(lab.label_calls(c, rules=RULES).select(*LABELS), "labeling_confidence"),
         _ctes(RULES) + _final(RULES) + f"SELECT {', '.join(LABELS)} FROM labelled",
     )
-    add("l6_label_calls_fuzzy", lambda c: lab.label_calls(c, rules=FUZZY).select(*LABELS), None)
+    add(
+        "l6_label_calls_fuzzy",
+        lambda c: rounded(lab.label_calls(c, rules=FUZZY).select(*LABELS), "labeling_confidence"),
+        _ctes(FUZZY) + _final(FUZZY) + f"SELECT {', '.join(LABELS)} FROM labelled",
+    )
     add(
         "l6_default_rules",
         lambda c: lab.label_calls(c, rules=EXACT).groupBy("connection_status", "call_type", "outcome").agg(
