@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import METRIC_ALIASES
-from ..functions.quantiles import percentile_name, percentile_row
+from ..functions.quantiles import log_cell, percentile_name, percentile_row, select_from_cells
 from ..functions.text import round_up
 
 
@@ -304,15 +304,66 @@ def funnel(df: DataFrame, stages: list[str] = DEFAULT_STAGES) -> DataFrame:
 
 def compare_kpis(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Current, previous, change and change % of every KPI with previous not 0."""
-    names = [
-        "total_calls", "connected_calls", "connection_rate", "avg_duration", "total_duration",
-        "median_duration", "total_revenue", "avg_revenue", "revenue_per_minute",
+    now = current.withColumn("is_current", F.lit(True))
+    return _compared(now.unionByName(previous.withColumn("is_current", F.lit(False)), allowMissingColumns=True))
+
+
+def compare_periods(df: DataFrame, first: date, last: date) -> DataFrame:
+    """``compare_kpis`` of the period and of the one before it, each row read once per pass."""
+    return _compared(_both_periods(df, first, last))
+
+
+def _compared(tagged: DataFrame) -> DataFrame:
+    """KPIs of the rows with ``is_current`` beside those of the others, in three passes.
+
+    The first pass aggregates by period and cell of the duration: these rows give the counts
+    and sums of both periods, and are the first counting pass of both medians.
+    """
+    has = {c: c in tagged.columns for c in ("outcome", "duration", "revenue")}
+    x = F.col("duration").cast("double") if has["duration"] else F.lit(None).cast("double")
+    rows = tagged.withColumn("x", x)
+    known = F.col("x").isNotNull() & ~F.isnan("x")
+    parts = [F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    if has["outcome"]:
+        parts.append(F.count_if(F.coalesce(F.lower("outcome") == "connected", F.lit(False))).alias("connected"))
+    for c in ("duration", "revenue"):
+        if has[c]:
+            parts += [F.count(c).alias(f"n_{c}"), F.sum(F.col(c).cast("double")).alias(f"sum_{c}")]
+    cells = rows.groupBy("is_current", F.when(known, log_cell("x")).alias("c1")).agg(*parts)
+    medians = select_from_cells(
+        rows.where(known).select("is_current", "x"), cells.where("c1 is not null").select("is_current", "c1", "n", "lo", "hi"), [50], ("is_current",)
+    )
+    median = medians.agg(F.max_by("p50", F.when(F.col("is_current"), 1)).alias("cur"), F.max_by("p50", F.when(~F.col("is_current"), 1)).alias("prev"))
+    median = median.select(F.struct("*")).scalar()
+    counted = [c for c in cells.columns if c not in ("is_current", "c1", "lo", "hi")]
+    tags = {"cur": F.col("is_current"), "prev": ~F.col("is_current")}
+    one = cells.agg(*[F.sum(F.when(mine, F.col(c))).alias(f"{tag}_{c}") for tag, mine in tags.items() for c in counted])
+
+    def kpis(tag: str) -> dict[str, Column]:
+        get = lambda c: F.col(f"{tag}_{c}")
+        n = F.coalesce(get("n"), F.lit(0))
+        out = {"total_calls": n}
+        if has["outcome"]:
+            out["connected_calls"] = F.coalesce(get("connected"), F.lit(0))
+            out["connection_rate"] = F.coalesce(get("connected") * 100.0 / F.nullif(n, F.lit(0)), F.lit(0.0))
+        for c in ("duration", "revenue"):
+            if has[c]:
+                out[f"total_{c}"] = F.coalesce(get(f"sum_{c}"), F.lit(0.0))
+                out[f"avg_{c}"] = get(f"sum_{c}") / F.nullif(get(f"n_{c}"), F.lit(0))
+        if has["duration"]:
+            out["median_duration"] = median[tag]
+            if has["revenue"]:
+                minutes = out["total_duration"] / 60
+                out["revenue_per_minute"] = F.when(minutes > 0, out["total_revenue"] / minutes).otherwise(F.lit(0.0))
+        return out
+
+    now, before = kpis("cur"), kpis("prev")
+    pairs = [
+        F.struct(F.lit(k).alias("metric"), now[k].cast("double").alias("current"), before[k].cast("double").alias("previous")) for k in now
     ]
-    cur = _long(basic_kpis(current), "kpi", names).select("metric", F.col("value").alias("current"))
-    prev = _long(basic_kpis(previous), "kpi", names).select("metric", F.col("value").alias("previous"))
     change = F.col("current") - F.col("previous")
     return (
-        cur.join(prev, "metric")
+        one.select(F.inline(F.array(*pairs)))
         .where((F.col("previous") != 0) & F.col("current").isNotNull())
         .withColumn("change", change)
         .withColumn("change_percentage", F.col("change") / F.col("previous") * 100)

@@ -162,6 +162,11 @@ def entries():
     melt = lambda t: " UNION ALL ".join(
         f"SELECT '{n}' AS metric, CAST({n} AS DOUBLE) AS v FROM {t}" for n in names
     )
+    compare_sql = f""", c1 AS (SELECT {BASIC} FROM calls WHERE {CUR}), p1 AS (SELECT {BASIC} FROM calls WHERE {PREV}),
+          a AS ({melt('c1')}), b AS ({melt('p1')})
+          SELECT a.metric, round(a.v, 4) AS current, round(b.v, 4) AS previous, round(a.v - b.v, 4) AS change,
+            round((a.v - b.v) / b.v * 100, 4) AS change_percentage
+          FROM a JOIN b USING (metric) WHERE b.v <> 0"""
     add(
         "a12_compare_kpis",
         lambda c: rounded(
@@ -170,11 +175,12 @@ def entries():
             ),
             "current", "previous", "change", "change_percentage", digits=4,
         ),
-        f""", c1 AS (SELECT {BASIC} FROM calls WHERE {CUR}), p1 AS (SELECT {BASIC} FROM calls WHERE {PREV}),
-          a AS ({melt('c1')}), b AS ({melt('p1')})
-          SELECT a.metric, round(a.v, 4) AS current, round(b.v, 4) AS previous, round(a.v - b.v, 4) AS change,
-            round((a.v - b.v) / b.v * 100, 4) AS change_percentage
-          FROM a JOIN b USING (metric) WHERE b.v <> 0""",
+        compare_sql,
+    )
+    add(
+        "a12_compare_periods",
+        lambda c: rounded(m.compare_periods(c, FIRST, LAST), "current", "previous", "change", "change_percentage", digits=4),
+        compare_sql,
     )
 
     def block(cols_cur, cols_prev, names_):

@@ -156,3 +156,20 @@ def test_cross_tab_fills_zero_cells(spark):
     got = {(r["status"], r["priority"]): r["items"] for r in out.collect()}
     assert got["Done", "All"] == 2 and got["Done", "Medium"] == 0 and got["Proposed", "All"] == 0
     assert len(got) == 8
+
+
+def test_compared_kpis_equal_those_of_each_period(spark):
+    """Against the KPIs of either side alone; null and nan durations, an empty side, a missing column."""
+    rows = [("Connected", 10.0, 1.0), ("busy", None, 2.0), (None, 30.5, None), ("connected", 7.0, 4.0), ("busy", 7.0, 0.0)]
+    now = spark.createDataFrame(rows, "outcome string, duration double, revenue double")
+    before = spark.createDataFrame([("connected", 4.0, 8.0), ("busy", 9.0, 0.5)], now.schema)
+    nothing = now.limit(0)
+    for a, b in ((now, before), (before, now), (nothing, now), (now, nothing), (now.drop("revenue"), before.drop("revenue")), (now.drop("duration"), before.drop("duration"))):
+        cur, prev = m.basic_kpis(a).first().asDict(), m.basic_kpis(b).first().asDict()
+        want = {k: (float(cur[k]), float(prev[k])) for k in cur if prev[k] and cur[k] is not None}
+        got = {r["metric"]: (r["current"], r["previous"]) for r in m.compare_kpis(a, b).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+    grouped = now.select(F.coalesce("outcome", F.lit("none")).alias("tag"), F.col("duration").alias("x")).where("x is not null")
+    got = {r["tag"]: r["p50"] for r in select_by_counting(grouped, [50], ("tag",)).collect()}
+    assert got == {"Connected": 10.0, "none": 30.5, "connected": 7.0, "busy": 7.0}
