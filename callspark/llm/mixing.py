@@ -11,6 +11,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one group of the reduction tree rounds against each other.
 GROUP_DOCS = 128
 _EPSILON = 1e-9
+_ITEM = ("id", "h", "size", "m", "sure")
+#: Rows that one step writes out of the count of a repeated row.
+_CHUNK = 10_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -52,16 +55,14 @@ def _uniform(*columns: Column) -> Column:
 
 
 def _fold(items: Column, seed: int) -> Column:
-    """Round an array of (id, h, size, p) against each other, one after the other.
+    """Round an array of (id, h, size, m, sure, p) against each other, one after the other.
 
     The open item carries its fractional probability along. With the next item, mass goes from
     one to the other, weighed by size so that the sum of size * p stays, until one of them is 0
     or 1; which way is drawn so that every expected p stays. The one that became whole is done,
-    the other is carried on. Gives struct(open, done array of (id, h, size, up)).
+    the other is carried on. Gives struct(open, done array of the same, p being 0 or 1).
     """
-    item = lambda i, h, size, p: F.struct(
-        i.alias("id"), h.alias("h"), size.alias("size"), p.alias("p")
-    )
+    item = lambda y, p: F.struct(*[y[c].alias(c) for c in _ITEM], p.alias("p"))
 
     def step(state: Column, x: Column) -> Column:
         a = state["open"]
@@ -75,8 +76,8 @@ def _fold(items: Column, seed: int) -> Column:
         a_done = (pa == 0.0) | (pa == 1.0)
         # where rounding errors leave neither whole, the nearer one is taken as such
         a_done = a_done | ~((px == 0.0) | (px == 1.0)) & (F.abs(pa - 0.5) >= F.abs(px - 0.5))
-        new_a, new_x = item(a["id"], a["h"], a["size"], pa), item(x["id"], x["h"], x["size"], px)
-        whole = lambda y, p: item(y["id"], y["h"], y["size"], F.round(p))
+        new_a, new_x = item(a, pa), item(x, px)
+        whole = lambda y, p: item(y, F.round(p))
         return F.when(
             a.isNull(), F.struct(x.alias("open"), state["done"].alias("done"))
         ).otherwise(
@@ -86,8 +87,8 @@ def _fold(items: Column, seed: int) -> Column:
             )
         )
 
-    kind = "struct<open: struct<id: bigint, h: bigint, size: bigint, p: double>, done: array<struct<id: bigint, h: bigint, size: bigint, p: double>>>"
-    start = F.from_json(F.lit('{"open": null, "done": []}'), kind)
+    kind = f"struct<{', '.join(f'{c}: bigint' for c in _ITEM)}, p: double>"
+    start = F.from_json(F.lit('{"open": null, "done": []}'), f"struct<open: {kind}, done: array<{kind}>>")
     return F.aggregate(items, start, step)
 
 
@@ -99,12 +100,22 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
     source with more rows has more groups and, per factor ``group_docs``, one more level, so no
     source is held by one task. Within a group large rows come first, so that what stays open
     is small if the group has small rows. The sum of size * up differs from the sum of size * p
-    by half a row's size at most. Repeated rows are rounded like others.
+    by half a row's size at most.
+
+    Repeated rows are counted first: of ``m`` equal rows the whole part of m * p is 1, and one
+    row with the rest goes into the tree, so a row that is repeated any number of times is one
+    item. They are written out again in chunks that are dealt over the tasks.
     """
-    spark = parts.sparkSession
-    kind = "source string, id bigint, h bigint, size bigint, p double"
-    todo, decided, level = parts.select("source", "id", "h", "size", "p"), spark.createDataFrame([], kind), 0
-    n = parts.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    share = F.col("m") * F.col("p")
+    counted = (
+        parts.groupBy("source", "id", "h", "size", "p").agg(F.count("*").alias("m"))
+        .withColumn("sure", F.floor(share + _EPSILON))
+        .withColumn("p", F.greatest(share - F.col("sure"), F.lit(0.0)))
+    )
+    counted = written(counted.select("source", *_ITEM, "p"), "mix-rows")
+    open_rows = F.col("p") >= _EPSILON
+    decided, todo, level = counted.where(~open_rows).withColumn("p", F.lit(0.0)), counted.where(open_rows), 0
+    n = todo.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while n:
         last = n <= group_docs
         if last:
@@ -112,8 +123,8 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
         else:
             count = -(-n // group_docs)
             groups = todo.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "id", "h", "size"), F.lit(count)))
-        rows = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("large_first"), _uniform(F.lit(seed - 1 - level), F.col("id"), F.col("h")).alias("u"), "id", "h", "size", "p")))
-        items = F.transform(rows, lambda x: F.struct(x["id"].alias("id"), x["h"].alias("h"), x["size"].alias("size"), x["p"].alias("p")))
+        rows = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("large_first"), _uniform(F.lit(seed - 1 - level), F.col("id"), F.col("h")).alias("u"), *_ITEM, "p")))
+        items = F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in (*_ITEM, "p")]))
         folded = written(
             groups.groupBy("source", "group").agg(items.alias("items")).select("source", _fold(F.col("items"), seed + level).alias("state")), "mix"
         )
@@ -123,7 +134,13 @@ def round_copies(parts: DataFrame, seed: int = 11, group_docs: int = GROUP_DOCS)
             decided = decided.unionByName(todo.withColumn("p", F.round("p")))
             break
         n, level = todo.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, level + 1
-    return decided.select("source", "id", "h", "size", F.col("p").cast("int").alias("up"))
+    decided = decided.withColumn("ups", F.col("sure") + F.col("p").cast("long"))
+    once = decided.where("m = 1").select("source", "id", "h", "size", F.col("ups").cast("int").alias("up"))
+    chunks = decided.where("m > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / _CHUNK))))
+    chunks = chunks.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "h", "chunk")
+    low = F.col("chunk") * _CHUNK
+    each = chunks.withColumn("nth", F.explode(F.sequence(low, F.least(low + _CHUNK, F.col("m")) - 1)))
+    return once.unionByName(each.select("source", "id", "h", "size", (F.col("nth") < F.col("ups")).cast("int").alias("up")))
 
 
 def mix_plan(docs: DataFrame, weights: list[int], most_repeats: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -124,8 +124,8 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
     """Give every piece (``length`` from 1 to ``capacity``) a ``sequence_id`` and an ``offset``.
 
     A piece that fills a window is a sequence of its own. All others are dealt to groups of
-    about ``group_pieces`` by a hash of the row, and each group is packed by best-fit
-    decreasing; only their number of rows decides the number of groups. Equal pieces may end
+    about ``group_pieces`` by a hash of the row and its number, so that repeated rows spread like
+    others, and each group is packed by best-fit decreasing; only their number of rows decides the number of groups. Equal pieces may end
     up in any order among themselves. Columns of the two names are replaced. ``sequence_id`` is group * 2^40 + window.
 
     The pieces are written to the shared folder first, as they are read twice.
@@ -135,7 +135,7 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
     n = pieces.where(~full).count()
     groups = max(1, -(-n // group_pieces))
     group = column_name(pieces, "group_no")
-    rest = pieces.where(~full).withColumn(group, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    rest = pieces.where(~full).withColumn(group, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)

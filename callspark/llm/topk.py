@@ -38,13 +38,18 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: in double precision where no sum can leave its exact range."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Exact integer products: in double precision where no sum can leave its exact range.
+
+    Sums beyond the range of a long count as its end (and so tie there).
+    """
+    largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (a, b)]
+    most = largest[0] * largest[1] * max(1, a.shape[1])
     if most < 2**53:
         return np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if most >= 2**63:
-        raise OverflowError("an inner product can leave the range of a long")
-    return a @ b.T
+    if most < 2**63:
+        return a @ b.T
+    end, wide = 2**63 - 1, b.T.astype(object)
+    return np.concatenate([np.clip(a[i : i + 16].astype(object) @ wide, -end, end).astype(np.int64) for i in range(0, len(a), 16)])
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_rows: int = QUERY_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -52,7 +57,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_rows: int = QUERY
 
     Both sides are (id long, v array<long>) as of ``integer_vectors``. Rows with the query's
     own id and vectors of another length are no candidates. A repeated query row is one query;
-    repeated corpus rows are so many candidates. Returns query_id, rank (from 1), vec_id, score;
+    repeated corpus rows are so many candidates. Components and scores beyond the range of a long count as its end. Returns query_id, rank (from 1), vec_id, score;
     a query with fewer than k candidates gets all, one without any has no row.
 
     Queries are dealt to tiles of about ``query_rows``; a corpus row is sent to each of them

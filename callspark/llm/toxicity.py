@@ -104,6 +104,7 @@ def fit(
     most_rows: int = TRAINING_ROWS,
     rounds: int = 250,
     strength: float = 1.0,
+    most_grams: int = SELECTED,
 ) -> ToxicityModel:
     """Learn from at most ``most_rows`` labelled rows, all that ``labels`` holds if there are fewer.
 
@@ -113,6 +114,7 @@ def fit(
 
     ``strength`` is the weight of the ridge penalty against the sum over the rows' losses, so few
     rows give a careful model. The rows are chosen by a hash of the id. Their ids (16 bytes each) are what is broadcast;
+    of the n-grams seen three times, the ``most_grams`` with the largest ratios reach the model;
     counts of n-grams are summed by Spark, and the driver gets one row per hashed n-gram and,
     of the chosen rows, the selected n-grams.
     """
@@ -148,7 +150,7 @@ def fit(
     in0, in1 = totals["n0"].to_numpy(), totals["n1"].to_numpy()
     ratio = np.log((in1 + 1) / (n1 + 2)) - np.log((in0 + 1) / (n0 + 2))
     often = in0 + in1 >= 3
-    order = np.argsort(-np.abs(ratio) * often, kind="stable")[:SELECTED]
+    order = np.argsort(-np.abs(ratio) * often, kind="stable")[:most_grams]
     order = order[often[order]]
     feature, ratio = totals["f"].to_numpy()[order], ratio[order]
     place = np.full(1 << BITS, -1, np.int32)

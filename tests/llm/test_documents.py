@@ -355,3 +355,36 @@ def test_sections_of_an_article_named_by_their_subject_stay(element, stays):
     story = "A sentence of the story that is long enough to stay, and then some more of it. " * 2
     page = f"<body><article><h1>Title</h1><p>{story}</p><{element}>{story} within</{element.split()[0]}><p>{story}</p></article></body>"
     assert ("within" in html_text.main_text(page)) == stays
+
+
+def test_repeated_rows_are_mixed_and_packed_like_others(spark):
+    """One row 30,000 times: rounded as one item, written out again, and dealt over all groups."""
+    p = 0.3701
+    parts = spark.range(30_500).select(
+        F.lit("s").alias("source"), F.greatest(F.col("id"), F.lit(30_000)).alias("id"), F.lit(1).cast("long").alias("h"),
+        F.lit(7).cast("long").alias("size"), F.lit(p).alias("p"),
+    )
+    ups = mixing.round_copies(parts, group_docs=16)
+    by_id = {r["id"]: (r["n"], r["up"]) for r in ups.groupBy("id").agg(F.count("*").alias("n"), F.sum("up").alias("up")).collect()}
+    assert by_id[30_000][0] == 30_001 and abs(by_id[30_000][1] - 30_001 * p) < 1
+    assert len(by_id) == 500 and all(n == 1 and up in (0, 1) for i, (n, up) in by_id.items() if i != 30_000)
+    assert abs(sum(up for _, up in by_id.values()) - 30_500 * p) <= 0.5 + 1e-6
+    pieces = spark.range(4_000).select(
+        F.lit(1).alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(5).cast("long").alias("length"),
+        F.lit(9).cast("long").alias("ids_crc32"), F.lit(5).cast("long").alias("doc_tokens"),
+    )
+    packed = packing.pack(pieces, 16, group_pieces=500)
+    assert packed.groupBy(F.shiftright("sequence_id", 40)).count().agg(F.max("count")).first()[0] < 700
+    assert packed.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty() and packed.count() == 4_000
+
+
+def test_scores_beyond_a_long_count_as_its_end(spark):
+    rows = [(1, [1e300, 1.0]), (2, [1e300, 2.0]), (3, [-1e300, 0.0]), (4, [1e14, -1.0]), (5, [0.0, 3.0])]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    kept = {r["id"]: [int(x) for x in r["v"]] for r in vectors.collect()}
+    end = 2**63 - 1
+    want = []
+    for q, a in kept.items():
+        scores = sorted((-max(-end, min(end, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in kept.items() if i != q)
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:3])]
+    assert sorted(map(tuple, topk.top_k(vectors, vectors, 3).collect())) == sorted(want)
