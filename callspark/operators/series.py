@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import checkpointed
 
 #: Bucket of each step, and its length in a unit.
 STEPS = {
@@ -85,12 +85,9 @@ def _ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
     the place is then the row's place in its partition plus the sizes of the partitions
     before it, so no task holds more than its range.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     place = F.monotonically_increasing_id()
     # The checkpoint fixes which row is in which partition before sizes are counted.
-    placed = rows.orderBy(*order).withColumn("_place", place).checkpoint()
+    placed = checkpointed(rows.orderBy(*order).withColumn("_place", place))
     part = F.shiftright("_place", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,6 +34,7 @@ from ..functions.postings import keyword_index, search
 from ..functions.skew import join_per_key
 from ..functions.text import collapse, last_position, let, share, strip, words
 from ..functions.vectors import scored
+from ..session import checkpointed
 from .filters import in_list
 
 METADATA = ["call_id", "agent_id", "campaign", "call_type", "outcome", "timestamp", "duration"]
@@ -427,7 +428,12 @@ def explain_relevance(hits: DataFrame) -> DataFrame:
 
 
 def cluster_hits(hits: DataFrame, k: int = 3, features: str = "embedding") -> DataFrame:
-    """Adds ``cluster``; with fewer rows than k there is one cluster."""
+    """Adds ``cluster``; with fewer rows than k there is one cluster.
+
+    The passes of the clustering read the rows from the checkpoint folder, so what they come from
+    is computed once. Callers should leave out columns that they do not need.
+    """
+    hits = checkpointed(hits)
     if hits.limit(k).count() < k:
         return hits.withColumn("cluster", F.lit(0))
     ready = hits if isinstance(hits.schema[features].dataType, T.UserDefinedType) else hits.withColumn(
@@ -441,8 +447,10 @@ def cluster_hits(hits: DataFrame, k: int = 3, features: str = "embedding") -> Da
 def text_features(df: DataFrame, text: str, terms: int = 100) -> DataFrame:
     """Adds ``features``: TF-IDF of the most frequent terms, length 1, without stop words.
 
-    The inverse document frequency gets 1 added, as in the usual smoothed form.
+    The inverse document frequency gets 1 added, as in the usual smoothed form. The texts are
+    read three times, so they are written to the checkpoint folder once.
     """
+    df = checkpointed(df)
     tokens = RegexTokenizer(inputCol=text, outputCol="_t", pattern="\\b\\w\\w+\\b", gaps=False)
     kept = StopWordsRemover(inputCol="_t", outputCol="_w")
     ready = kept.transform(tokens.transform(df))

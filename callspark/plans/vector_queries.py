@@ -347,7 +347,7 @@ def entries():
     )
     whole(
         "v14_cluster_text_features",
-        lambda i, qs: v.cluster_hits(v.text_features(i.select("id", "document"), "document"), 5, "features")
+        lambda i, qs: v.cluster_hits(v.text_features(i.select("id", "document"), "document").drop("document"), 5, "features")
         .groupBy("cluster")
         .agg(F.count(F.lit(1)).alias("members")),
         None,

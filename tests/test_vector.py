@@ -193,6 +193,25 @@ def test_clusters_sum_to_all_rows(spark, corpus):
     assert [r["cluster"] for r in v.cluster_hits(corpus.limit(2), 3).collect()] == [0, 0]
 
 
+def test_clustering_reads_its_input_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([(f"d{i}", f"{'billing refund' if i % 2 else 'password login'} word{i % 5}") for i in range(60)], "id string, document string")
+    features = v.text_features(texts.mapInArrow(count, texts.schema), "document").drop("document")
+    assert computed.value == 60
+    out = {r["id"]: r["cluster"] for r in v.cluster_hits(features, 2, "features").collect()}
+    assert len(out) == 60 and len(set(out.values())) == 2
+    computed.value = 0
+    vectors = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(60)], "id long, embedding array<float>")
+    assert v.cluster_hits(vectors.mapInArrow(count, vectors.schema), 2).groupBy("cluster").count().count() == 2
+    assert computed.value == 60
+
+
 def test_index_build_update_delete(spark):
     docs = spark.createDataFrame([("1", "first text"), ("2", "second text")], "call_id string, transcript string")
     provider = hash_embedding(4)
