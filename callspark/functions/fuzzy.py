@@ -2,11 +2,13 @@
 
 Spark has no matching-blocks ratio, so this is one Arrow UDF over the text column. It
 needs no shuffle: each batch compares its distinct words (or word windows) with the
-keywords, and a letter count that bounds the ratio from above leaves few pairs to score.
+keywords, a bounded number of words at a time, and a letter count that bounds the ratio
+from above leaves few pairs to score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -16,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: Words that are compared together; only memory depends on it.
+STEP_WORDS = 1 << 16
 
 
 @lru_cache(maxsize=1 << 16)
@@ -26,11 +30,10 @@ def ratio(a: str, b: str) -> int:
 
 def letter_counts(texts: list[str]) -> np.ndarray:
     """Letters per bucket; two letters may share one, which only raises the bound."""
-    out = np.zeros((len(texts), BUCKETS), dtype=np.int32)
-    for row, text in enumerate(texts):
-        for c in text:
-            out[row, ord(c) % BUCKETS] += 1
-    return out
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    counts = np.bincount(row * BUCKETS + codes % BUCKETS, minlength=len(texts) * BUCKETS)
+    return counts.astype(np.int32).reshape(-1, BUCKETS)
 
 
 def windows(ids: np.ndarray, start: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,17 +45,41 @@ def windows(ids: np.ndarray, start: np.ndarray, n: int, size: int) -> tuple[np.n
     return np.stack([ids[start[first] + j] for j in range(n)], axis=1), place.reshape(-1)
 
 
+def word_steps(texts: list[str], overlap: int) -> Iterator[tuple[list[str], list[int]]]:
+    """(words, text of each word), some ``STEP_WORDS`` at a time; the parts of a text that is
+    cut share ``overlap`` words, so that no window is lost."""
+    words: list[str] = []
+    owner: list[int] = []
+    for i, rest in enumerate(texts):
+        last: list[str] = []
+        while rest:
+            part = rest.split(None, STEP_WORDS)
+            rest = part.pop() if len(part) > STEP_WORDS else ""
+            part = last + part
+            last = part[len(part) - overlap :] if len(part) > overlap else part
+            words += part
+            owner += [i] * len(part)
+            if len(words) >= STEP_WORDS:
+                yield words, owner
+                words, owner = [], []
+    if words:
+        yield words, owner
+
+
 def near_matches(texts: list[str], keywords: list[str], percent: float) -> list[set[str]]:
     """Per text the keywords that a word, or a window of as many words, comes close to."""
     found: list[set[str]] = [set() for _ in texts]
-    split = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in split])
-    if sizes.sum() == 0:
-        return found
-    ids, vocabulary = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
+    longest = max((len(k.split()) for k in keywords), default=1)
+    for words, owner in word_steps(texts, longest - 1):
+        _match(words, np.array(owner), keywords, percent, found)
+    return found
+
+
+def _match(words: list[str], owner: np.ndarray, keywords: list[str], percent: float, found: list[set[str]]) -> None:
+    """Add the keywords that the words of one step come close to."""
+    ids, vocabulary = pd.factorize(np.array(words, dtype=object))
     counts = letter_counts(list(vocabulary))
     lengths = np.array([len(w) for w in vocabulary])
-    owner = np.repeat(np.arange(len(texts)), sizes)
     for n in {len(k.split()) for k in keywords}:
         start = np.arange(len(ids) - n + 1)
         if not len(start):
@@ -76,7 +103,6 @@ def near_matches(texts: list[str], keywords: list[str], percent: float) -> list[
             ]
             for i in np.unique(owner[start[np.isin(place, hits)]]):
                 found[i].add(k)
-    return found
 
 
 def near_keywords(texts: list[Column], keywords: list[str], threshold: float) -> Column:

@@ -2,6 +2,7 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callspark.functions import formats as fm
+from callspark.functions import fuzzy
 from callspark.functions.fixed_values import STOP_WORDS
 from callspark.functions.fuzzy import near_matches, ratio
 from callspark.functions.parsing import duration_seconds, phone_display, phone_e164
@@ -172,3 +174,25 @@ def test_near_matches_equal_all_pairs(text, keywords):
         if any(ratio(g, k) >= 85 for g in grams):
             want.add(k)
     assert near_matches([text, ""], keywords, 85) == [want, set()]
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 1000])
+def test_near_matches_do_not_depend_on_the_step(monkeypatch, step):
+    monkeypatch.setattr(fuzzy, "STEP_WORDS", step)
+    texts, keywords = ["a b c", "x  y abd\tz", "", " ", "x abc", "x y z a", "b c a b c ", "abx a bc"], ["abc", "abd", "a b c", "ab cd"]
+    want = [{k for k in keywords if any(ratio(g, k) >= 85 for g in grams(x.split(), len(k.split())))} for x in texts]
+    assert near_matches(texts, keywords, 85) == want and want[0] == want[6] == {"a b c"}
+
+
+def grams(words, n):
+    return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def test_near_matches_of_many_words_stay_in_bounded_memory():
+    texts = [" ".join(f"w{i * 500 + j} abcdefgx" for j in range(500)) for i in range(1000)]
+    tracemalloc.start()
+    got = near_matches(texts, ["abcdefgh", "w1 abcdefgh w2"], 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all("abcdefgh" in g for g in got)
+    assert peak < 200 << 20
