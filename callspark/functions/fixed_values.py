@@ -290,6 +290,37 @@ QUESTION_PATTERNS = {
     "month_my": r"\b(0?[1-9]|1[0-2])[-/](\d{4})\b",
 }
 
+# Strings that each of these patterns needs: one of every tuple.
+QUESTION_HINTS: dict[str, list[tuple[str, ...]]] = {
+    "last_n_days": [("last",), ("day",)],
+    "last_n_hours": [("last",), ("hour",)],
+    "yesterday": [("yesterday",)],
+    "today": [("today",)],
+    "this_week": [("this",), ("week",)],
+    "last_week": [("last",), ("week",)],
+    "this_month": [("this",), ("month",)],
+    "last_month": [("last",), ("month",)],
+    "agent": [("agent",)],
+    "campaign": [("campaign",)],
+    "call_type": [("inquiry", "support", "complaint", "billing", "sales")],
+    "outcome": [("resolved", "callback", "refund", "sale")],
+    "count": [("count", "number", "how many")],
+    "average": [("average", "avg", "mean")],
+    "sum": [("sum", "total")],
+    "max": [("max", "highest")],
+    "min": [("min", "lowest")],
+    "greater_than": [("greater than", "more than", "over", "above", ">")],
+    "less_than": [("less than", "fewer than", "under", "below", "<")],
+    "between": [("between",), ("and",)],
+    "find": [("find", "search", "look for")],
+    "compare": [("compare", "versus", "vs")],
+    "analyze": [("analyze", "analysis", "breakdown")],
+    "day_ymd": [("-", "/")],
+    "day_mdy": [("-", "/")],
+    "month_ym": [("-", "/")],
+    "month_my": [("-", "/")],
+}
+
 # Patterns of the one-line filter questions.
 FILTER_QUESTION_PATTERNS = {
     "date_range": r"(?i)between\s+(\d{4}-\d{2}-\d{2})\s+and\s+(\d{4}-\d{2}-\d{2})",

@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a task where each row costs much work and few bytes.
+ROWS_PER_TASK = 100_000
+
+
+def spread_rows(scan: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Deal a scan to tasks of about ``rows`` rows, and to every core at least.
+
+    For tables of narrow rows with much work each: their splits are cut by bytes, so that a
+    task's time would grow with the table. The count reads the footers of the files only.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-scan.count() // rows))
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
+
+
 def spread_scan(scan: DataFrame) -> DataFrame:
     """Give every core a share of a scan that has fewer splits than cores.
 

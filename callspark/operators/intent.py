@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, time, timedelta
 from functools import reduce
-from operator import add, and_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from ..functions.fixed_values import (
     ACTION_WORDS,
     FILTER_QUESTION_PATTERNS,
     MONTHS,
+    QUESTION_HINTS,
     QUESTION_PATTERNS,
 )
 from ..functions.text import let
@@ -25,20 +26,33 @@ from ..session import new_folder
 
 NTZ = "timestamp_ntz"
 P = QUESTION_PATTERNS
+#: Per pattern the strings that a text must hold for it to fit: one of each tuple.
+HINTS = QUESTION_HINTS
 STRINGS = "array<string>"
 
 
+def _may_hold(text: Column, hints: list[tuple[str, ...]]) -> Column:
+    """Whether the text holds one string of each tuple, which is told far sooner than by a pattern."""
+    return reduce(and_, [reduce(or_, [F.contains(text, F.lit(h)) for h in some]) for some in hints])
+
+
 def _has(text: Column, name: str) -> Column:
-    return text.rlike("(?U)" + P[name])
+    return _may_hold(text, HINTS[name]) & text.rlike("(?U)" + P[name])
+
+
+def _extract(text: Column, hints: list[tuple[str, ...]], pattern: str, group: int) -> Column:
+    """A group that is never empty where the pattern fits; null where it does not."""
+    found = let(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
+    return F.when(_may_hold(text, hints), found)
 
 
 def _group(text: Column, name: str, group: int) -> Column:
-    found = F.regexp_extract(text, "(?U)" + P[name], group)
-    return F.when(_has(text, name), found)
+    return _extract(text, HINTS[name], "(?U)" + P[name], group)
 
 
 def _all(text: Column, name: str) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?U)" + P[name]), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit("(?U)" + P[name]), F.lit(1))
+    return F.when(_may_hold(text, HINTS[name]), found).otherwise(F.array().cast(STRINGS))
 
 
 def action(text: Column) -> Column:
@@ -71,9 +85,8 @@ def filters(text: Column) -> Column:
 
     low = F.coalesce(bound("between", 1, "bigint"), bound("greater_than", 2, "bigint"))
     high = F.coalesce(bound("between", 2, "bigint"), bound("less_than", 2, "bigint"))
-    status = F.when(text.rlike("\\bconnected\\b"), "Connected").when(
-        text.rlike("\\bdisconnected\\b"), "Disconnected"
-    )
+    word = lambda w: F.contains(text, F.lit(w)) & text.rlike(f"\\b{w}\\b")
+    status = F.when(word("connected"), "Connected").when(word("disconnected"), "Disconnected")
     return F.struct(
         F.when(about_time, low).alias("min_duration"),
         F.when(about_time, high).alias("max_duration"),
@@ -111,9 +124,8 @@ def time_range(text: Column, as_of: datetime) -> Column:
     last_month = month - timedelta(days=1)
 
     def ago(name: str, unit: str) -> Column:
-        n = _group(text, name, 1).try_cast("int")
-        step = F.make_dt_interval(**{unit: n})
-        return F.when(n.isNotNull(), _span(now - step, now))
+        back = lambda n: F.when(n.isNotNull(), _span(now - F.make_dt_interval(**{unit: n}), now))
+        return let(_group(text, name, 1).try_cast("int"), back)
 
     def when(name: str, span: Column) -> Column:
         return F.when(_has(text, name), span)
@@ -124,7 +136,8 @@ def time_range(text: Column, as_of: datetime) -> Column:
         # A part that is absent makes the whole text null, so nothing is parsed in vain.
         start = F.try_to_timestamp(F.concat(parts[0], dash, parts[1], dash, parts[2]), F.lit("yyyy-M-d"))
         length = F.expr("interval '0 23:59:59.999999' day to second")
-        return let(start.cast(NTZ), lambda s: F.when(s.isNotNull(), _span(s, s + length)))
+        whole = let(start.cast(NTZ), lambda s: F.when(s.isNotNull(), _span(s, s + length)))
+        return F.when(_has(text, name), whole)
 
     def months(year: Column, number: Column) -> Column:
         text_of = F.concat(year, F.lit("-"), number.cast("string"), F.lit("-1"))
@@ -136,8 +149,7 @@ def time_range(text: Column, as_of: datetime) -> Column:
 
     named = "(?U)\\b(" + "|".join(MONTHS) + ")\\b\\s*(\\d{4})"
     number_of = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    word = F.nullif(F.regexp_extract(text, named, 1), F.lit(""))
-    year = F.nullif(F.regexp_extract(text, named, 2), F.lit(""))
+    word, year = (_extract(text, [tuple(MONTHS)], named, g) for g in (1, 2))
     return F.coalesce(
         ago("last_n_days", "days"),
         ago("last_n_hours", "hours"),
@@ -163,7 +175,7 @@ FILTER_NAMES = ["min_duration", "max_duration", "min_amount", "max_amount", "con
 ENTITY_NAMES = ["agents", "campaigns", "customers", "call_types", "outcomes"]
 
 
-def _confidence(i: Column) -> Column:
+def _confidence(i: dict[str, Column]) -> Column:
     """Each part found adds its own score and 0.1; nothing found gives 0.1."""
     n_entities = reduce(add, [F.size(i["entities"][n]) for n in ENTITY_NAMES])
     n_filters = _given(i["filters"], FILTER_NAMES)
@@ -180,14 +192,16 @@ def _confidence(i: Column) -> Column:
     return F.when(count > 0, F.least(F.lit(1.0), score + count * 0.1)).otherwise(F.lit(0.1))
 
 
-def _explanation(i: Column) -> Column:
+def _explanation(i: dict[str, Column]) -> Column:
     def listed(name: str, values: Column) -> Column:
         return F.when(F.size(values) > 0, F.concat(F.lit(f"{name}: "), F.array_join(values, ", ")))
 
-    first = F.date_format(i["time_range"]["start"], "yyyy-MM-dd")
-    last = F.date_format(i["time_range"]["end"], "yyyy-MM-dd")
-    when = F.when(first == last, F.concat(F.lit("on "), first)).otherwise(
-        F.concat(F.lit("from "), first, F.lit(" to "), last)
+    days = F.array(*[F.date_format(i["time_range"][end], "yyyy-MM-dd") for end in ("start", "end")])
+    when = let(
+        days,
+        lambda d: F.when(d[0] == d[1], F.concat(F.lit("on "), d[0])).otherwise(
+            F.concat(F.lit("from "), d[0], F.lit(" to "), d[1])
+        ),
     )
     word = F.lit("Processing")
     for name, shown in ACTION_WORDS.items():
@@ -210,21 +224,21 @@ def _explanation(i: Column) -> Column:
 
 def interpret(df: DataFrame, text: str, as_of: datetime) -> DataFrame:
     """Adds action, entities, time_range, filters, aggregations, confidence, explanation."""
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    parts = let(
-        lower,
-        lambda t: F.struct(
-            action(t).alias("action"),
-            entities(t).alias("entities"),
-            time_range(t, as_of).alias("time_range"),
-            filters(t).alias("filters"),
-            aggregations(t).alias("aggregations"),
-        ),
-    )
-    out = df.withColumn("_i", parts)
-    out = out.withColumn("_i", F.col("_i").withField("confidence", _confidence(F.col("_i"))))
+    parts = {
+        "action": action,
+        "entities": entities,
+        "time_range": lambda t: time_range(t, as_of),
+        "filters": filters,
+        "aggregations": aggregations,
+    }
+    # Columns of their own, so that Spark leaves out those that nobody reads.
+    out = df.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    out = out.withColumns({f"_i_{name}": let(F.col("_lower"), part) for name, part in parts.items()})
+    i = {name: F.col(f"_i_{name}") for name in parts}
+    out = out.withColumn("_i_confidence", _confidence(i))
+    i["confidence"] = F.col("_i_confidence")
     return out.select(
-        *df.columns, "_i.*", _explanation(F.col("_i")).alias("explanation")
+        *df.columns, *[c.alias(name) for name, c in i.items()], _explanation(i).alias("explanation")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import FILTER_QUESTION_PATTERNS, MONTHS
 from ..functions.fixed_values import QUESTION_PATTERNS as P
-from ..functions.skew import spread_scan
+from ..functions.skew import spread_rows, spread_scan
 from ..operators import intent as n
 from .rounding import rounded
 from .views import EVENT_CALLS_SQL, event_calls, table
@@ -45,7 +45,7 @@ def _sql_pick(number, values):
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread_scan(table(spark, sf_dir, "events"))
+    e = spread_rows(table(spark, sf_dir, "events"))
     i, u = F.col("event_id"), F.col("user_id")
     return e.select(
         "event_id",
@@ -72,7 +72,7 @@ QUESTIONS_SQL = f"""questions AS (SELECT event_id, concat_ws(' ', {_sql_pick('ev
 
 def short_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u = F.col("event_id"), F.col("user_id")
-    return spread_scan(table(spark, sf_dir, "events")).select(
+    return spread_rows(table(spark, sf_dir, "events")).select(
         F.concat_ws(
             " ", F.lit("calls"), _pick(u, [*TYPES, ""]), _pick(i, SHORT_RESULTS), _pick(u, SHORT_TIMES),
             _pick(i, LIMITS),

@@ -2,8 +2,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from callspark.functions.skew import spread_rows
 from callspark.operators import intent as n
 from callspark.operators import labeling as lab
 
@@ -96,6 +99,29 @@ def test_intents(spark):
     assert third["explanation"] == "Filtering (low confidence interpretation)"
 
 
+@pytest.mark.parametrize("name", list(n.P))
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_hints_hold_wherever_a_pattern_fits(name, data):
+    text = data.draw(st.from_regex(n.P[name]))
+    assert all(any(h in text for h in some) for some in n.HINTS[name])
+
+
+def test_parts_of_a_question_that_nobody_reads_are_left_out(spark):
+    q = spark.createDataFrame([("find sales calls in march 2023",)], "q string")
+    out = n.interpret(q, "q", AS_OF).select(F.col("time_range")["start"].alias("start"))
+    assert out.first()["start"] == datetime(2023, 3, 1)
+    assert "complaint" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heavy_rows_are_dealt_by_number(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert spread_rows(scan, 10).rdd.getNumPartitions() == 100
+    assert spread_rows(scan, 10_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread_rows(scan, 10).count() == 1000
+
+
 def _answers(calls, questions):
     """Per question the calls that pass its filter, tested one by one."""
     out = {}
