@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
 
-#: Documents of a shard, and words of its documents beyond which it is closed before.
-SHARD_DOCS, SHARD_WORDS = 4_096, 2_000_000
+#: Documents of a shard, and bytes of its documents beyond which it is closed before.
+SHARD_DOCS, SHARD_BYTES = 4_096, 1 << 24
 #: Queries that one task holds; the index is shipped once for so many.
 TILE = 16_384
 MOST_TASKS = 20_000
@@ -32,30 +33,35 @@ _BITS = 21
 def keyword_index(documents: DataFrame, id_: str = "id", text: str = "document") -> DataFrame:
     """One row per shard of documents, whose words are separated by blanks (null: none). No shuffle."""
 
-    def shard(ids: list[str | None], words: list[list[str]]) -> pa.RecordBatch:
-        sizes = [len(w) for w in words]
-        code, terms = pd.factorize(np.array([x for w in words for x in w], object))
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        pairs = np.sort(code.astype(np.int64) << 32 | doc)
-        ends = np.cumsum(np.bincount(pairs >> 32, minlength=len(terms)))
-        data = [" ".join(terms).encode(), ends.astype(np.int64).tobytes(), pairs.astype(np.int32).tobytes()]
-        columns = [pa.array([ids], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in data]]
-        return pa.RecordBatch.from_arrays(columns, ["ids", "terms", "ends", "docs"])
+    def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, texts = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        # Arrow's white space is that of Unicode, like the blanks of functions.text.
+        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        doc = np.repeat(np.arange(len(ids)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        words = split.flatten()
+        some = pc.not_equal(words, "")
+        coded = words.filter(some).dictionary_encode()
+        one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.cast(pa.string()))
+        pairs = np.sort(coded.indices.to_numpy().astype(np.int64) << 32 | doc[some.to_numpy(zero_copy_only=False)])
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+        ends = np.cumsum(np.bincount(pairs >> 32, minlength=len(coded.dictionary)))
+        lists = [pa.array([x], pa.binary()) for x in (ends.astype(np.int64).tobytes(), pairs.astype(np.int32).tobytes())]
+        terms = pc.binary_join(one(coded.dictionary), " ").cast(pa.binary())
+        return pa.RecordBatch.from_arrays([one(ids), terms, *lists], ["ids", "terms", "ends", "docs"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, n = [], [], 0
+        held, docs, size = [], 0, 0
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                # The blanks are those of functions.text: the white space of Unicode.
-                own = list(set((value.as_py() or "").split()))
-                ids.append(key.as_py())
-                words.append(own)
-                n += len(own)
-                if len(ids) >= SHARD_DOCS or n >= SHARD_WORDS:
-                    yield shard(ids, words)
-                    ids, words, n = [], [], 0
-        if ids:
-            yield shard(ids, words)
+            start = 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 1):
+                docs, size = docs + 1, size + n
+                if docs >= SHARD_DOCS or size >= SHARD_BYTES:
+                    yield shard([*held, batch.slice(start, i - start)])
+                    held, docs, size, start = [], 0, 0, i
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield shard(held)
 
     return documents.select(F.col(id_).cast("string"), F.lower(text)).mapInArrow(build, INDEX_SCHEMA)
 
@@ -69,36 +75,44 @@ class Words:
         points = np.frombuffer("".join(terms).encode("utf-32-le"), np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(terms)), sizes)
         self.runs = {}
+        self.marked = np.zeros(len(terms), bool)
         code = np.zeros(len(points), np.int64)
         for n in (1, 2, 3):
-            fits = len(points) - n + 1
-            if fits <= 0:
-                self.runs[n] = (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
-                continue
-            code = code[:fits] << _BITS | points[n - 1 :]
-            inside = owner[:fits] == owner[n - 1 :]
-            mine, word = code[inside], owner[:fits][inside]
-            order = np.lexsort((word, mine))
-            mine, word = mine[order], word[order]
-            new = np.append(True, (mine[1:] != mine[:-1]) | (word[1:] != word[:-1])) if len(mine) else np.zeros(0, bool)
-            mine, word = mine[new], word[new]
-            keys, first = np.unique(mine, return_index=True)
-            self.runs[n] = (keys, np.append(first, len(mine)), word)
+            fits = max(0, len(points) - n + 1)
+            code = code[:fits] << _BITS | points[len(points) - fits :]
+            inside = owner[:fits] == owner[len(points) - fits :]
+            word = owner[:fits][inside]
+            kind, keys = pd.factorize(code[inside])
+            # Few kinds of runs are told apart by two bytes, which are sorted much sooner.
+            order = np.argsort(kind.astype(np.uint16) if len(keys) <= 1 << 16 else kind, kind="stable")
+            kind, word = kind[order], word[order]  # the words of a run ascend
+            new = np.ones(len(kind), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (word[1:] != word[:-1])
+            bounds = np.append(0, np.cumsum(np.bincount(kind[new], minlength=len(keys))))
+            self.runs[n] = (dict(zip(keys.tolist(), range(len(keys)), strict=True)), bounds, word[new])
 
     def _list(self, run: str) -> np.ndarray:
         keys, bounds, word = self.runs[len(run)]
         code = 0
         for c in run:
             code = code << _BITS | ord(c)
-        at = int(np.searchsorted(keys, code))
-        return word[bounds[at] : bounds[at + 1]] if at < len(keys) and keys[at] == code else word[:0]
+        at = keys.get(code)
+        return word[:0] if at is None else word[bounds[at] : bounds[at + 1]]
 
     def holding(self, word: str) -> np.ndarray:
         """Numbers of the terms that ``word`` is a part of."""
         if len(word) <= 3:
             return self._list(word)
-        rarest = min((self._list(word[i : i + 3]) for i in range(len(word) - 2)), key=len)
-        return np.array([i for i in rarest.tolist() if word in self.terms[i]], np.int64)
+        lists = sorted((self._list(run) for run in {word[i : i + 3] for i in range(len(word) - 2)}), key=len)
+        found = lists[0]
+        for other in lists[1:]:
+            if len(other) > 12 * len(found):  # then comparing the words takes less time
+                break
+            self.marked[found] = True
+            both = other[self.marked[other]]
+            self.marked[found] = False
+            found = both
+        return np.array([i for i in found.tolist() if word in self.terms[i]], np.int64)
 
 
 class Shard:

@@ -76,3 +76,24 @@ def _packed(docs):
     lists = [[i for i, d in enumerate(docs) if t in d] for t in terms]
     ends = np.cumsum([len(x) for x in lists]).astype(np.int64)
     return " ".join(terms).encode(), ends.tobytes(), np.array([i for x in lists for i in x], np.int32).tobytes()
+
+
+def test_a_shard_is_packed_and_searched_without_a_loop_over_its_words(spark):
+    """Long words that share their runs of letters are narrowed down by all of them."""
+    terms = [f"abcde{i:04d}fghij" for i in range(3000)] + ["fghijabcde", "xbcdefgx"]
+    words = postings.Words(terms)
+    tested = []
+
+    class Counted(str):
+        def __contains__(self, other):
+            tested.append(other)
+            return str.__contains__(self, other)
+
+    words.terms = [Counted(t) for t in terms]
+    assert words.holding("abcde1234fghij").tolist() == [1234] and words.holding("jabcd").tolist() == [3000]
+    assert words.holding("cdefg").tolist() == [3001] and words.holding("deabc").tolist() == []
+    assert len(tested) < 10
+    docs = spark.createDataFrame([("a", "one  two\x1cone\u2003two "), ("b", None), ("c", "two")], "id string, document string").coalesce(1)
+    row = postings.keyword_index(docs).first()
+    shard = postings.Shard(row["ids"], bytes(row["terms"]), bytes(row["ends"]), bytes(row["docs"]))
+    assert sorted(shard.words.terms) == ["one", "two"] and shard.counts(["one", "two"]).tolist() == [2, 0, 1]
