@@ -6,6 +6,7 @@ import tracemalloc
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,6 +18,7 @@ from callspark.functions.fixed_values import STOP_WORDS
 from callspark.functions.fuzzy import near_matches, ratio
 from callspark.functions.parsing import duration_seconds, phone_display, phone_e164
 from callspark.functions.text import similarity
+from callspark.functions.unicode import decomposed
 from callspark.operators import text as t
 
 
@@ -196,3 +198,13 @@ def test_near_matches_of_many_words_stay_in_bounded_memory():
     tracemalloc.stop()
     assert all("abcdefgh" in g for g in got)
     assert peak < 200 << 20
+
+
+def test_decomposition_holds_few_texts_as_strings():
+    texts = pa.array(["é ﬁ " * 2_000, None, "日本" * 4_000, "", "plain"] * 400)
+    tracemalloc.start()
+    got = decomposed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[:5] == ["e\u0301 fi " * 2_000, None, "日本" * 4_000, "", "plain"] and len(got) == 2_000
+    assert peak < 4 << 20
