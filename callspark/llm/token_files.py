@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import bounded_batches, column_name
+from .batches import bounded_batches, column_name, written
 from .tokens import tokenizer
 
 STRIPE_BYTES = 16 << 20
@@ -116,7 +116,8 @@ def digests(files: DataFrame, order: list[str], ids: str = "token_ids") -> DataF
     bounded_batches(files.sparkSession)
     kept = [c for c in files.columns if c != ids]
     schema = files.select(*kept).schema.add(n, "long").add(crc, "long")
-    per_doc = files.select(*kept, ids).mapInArrow(run, schema)
+    # Totals and starts both need these few numbers; the files are read for them once.
+    per_doc = written(files.select(*kept, ids).mapInArrow(run, schema), "token-digests")
     before = Window.partitionBy("file_no").orderBy(*order, crc, n).rowsBetween(Window.unboundedPreceding, -1)
     totals = per_doc.groupBy("file_no").agg(F.sum(n).alias("_total"))
     earlier = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per file

@@ -91,7 +91,8 @@ class WordTokenizer:
         self._learn_all([words[i] for i in new], known)
         for i in new:
             ids[i] = known[words[i]]
-        ids = [x or b"" for x in ids]
+        for i in np.flatnonzero(~used | torn[: len(words)]).tolist():
+            ids[i] = ids[i] or b""
         # The first word of a text has no blank before it and is encoded on its own.
         ids += [self.whole(words[i]) for i in starts.tolist()]
         places[bounds[:-1]] = np.arange(len(words), len(words) + len(texts))
