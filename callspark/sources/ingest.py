@@ -8,7 +8,7 @@ from datetime import datetime
 from typing import Any
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ from ..schema import REQUIRED, MissingColumns
 
 CORRUPT = "_corrupt_record"
 SOURCE = "_source_file"
+NO_HEADER = "no header"
 
 
 def literal(path: str) -> str:
@@ -77,9 +78,17 @@ def csv_layouts(
     spark: SparkSession, path: str | list[str], encoding: str | None = None, recursive: bool = False
 ) -> list[DataFrame]:
     """One table per header and charset of the files, with the place of each row in ``_source_file``."""
+    return _layouts(spark, _listed(spark, path, recursive), encoding)
+
+
+def _listed(spark: SparkSession, path: str | list[str], recursive: bool) -> list[Row]:
+    """The rows of ``csv_files``, one per file, with the header as bytes."""
+    return csv_files(spark, path, recursive).withColumn("header", F.col("header").cast("binary")).collect()
+
+
+def _layouts(spark: SparkSession, listed: list[Row], encoding: str | None) -> list[DataFrame]:
     groups: dict[tuple[str, str], list[str]] = {}
-    headed = csv_files(spark, path, recursive).where("header is not null").withColumn("header", F.col("header").cast("binary"))
-    for row in headed.collect():  # one row per file
+    for row in (r for r in listed if r["header"] is not None):
         charset = encoding or ("UTF-8" if row["valid_utf8"] else "ISO-8859-1")
         groups.setdefault((bytes(row["header"]).decode(charset, "replace").strip("\ufeff\r\n"), charset), []).append(literal(unquote(row["file_path"])))
     place = F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"))
@@ -112,7 +121,7 @@ def _placed(rows: DataFrame, keep_source: bool) -> DataFrame:
 
 def file_errors(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
     """(file_path, error) of files that an import leaves out."""
-    return csv_files(spark, path, recursive).where("header is null").select("file_path", F.lit("no header").alias("error"))
+    return csv_files(spark, path, recursive).where("header is null").select("file_path", F.lit(NO_HEADER).alias("error"))
 
 
 def preview(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
@@ -137,9 +146,10 @@ def import_files(
     columns meet in one table. A layout that lacks a required column, and files without a
     header, give an error line each and do not stop the others.
     """
-    errors = [tuple(r) for r in file_errors(spark, path).collect()]
+    listed = _listed(spark, path, recursive=True)  # every file is searched for its header once
+    errors = [(r["file_path"], NO_HEADER) for r in listed if r["header"] is None]
     good, rejected = [], [spark.createDataFrame([], "file_path string, row string")]
-    for layout in csv_layouts(spark, path, encoding, recursive=True):
+    for layout in _layouts(spark, listed, encoding):
         rows = _placed(layout, keep_source=True)
         try:
             good.append(clean(parse_dates(standardise(rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)))))

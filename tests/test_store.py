@@ -255,3 +255,14 @@ def test_rollup_equals_full_query_after_any_batch(spark, tmp_path):
     batch(20, [("e", "2024-01-01T12:10", "connected", 7.0, 4.0, "x")])
     same()
     assert made == [[10], [20], [15], [], [10, 15, 20]]
+
+
+def test_an_import_searches_every_file_for_its_header_once(spark, tmp_path, monkeypatch):
+    for name, text in {"a.csv": "Call ID,Timestamp,Duration,Transcript\n1,2024-01-01 10:00:00,5,hello\n", "b.csv": "\n \n", "c.csv": "x\n1\n"}.items():
+        (tmp_path / name).write_text(text)
+    searched, search = [], ing.csv_files
+    monkeypatch.setattr(ing, "csv_files", lambda *x: searched.append(x) or search(*x))
+    good, rejected, errors = ing.import_files(spark, str(tmp_path))
+    assert len(searched) == 1
+    assert [r["call_id"] for r in good.collect()] == ["1"] and rejected.collect() == []
+    assert sorted((r["file_path"][-5:], r["error"][:9]) for r in errors.collect()) == [("b.csv", "no header"), ("c.csv", "missing r")]
