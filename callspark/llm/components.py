@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import written
+from .batches import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     A round reduces each node's neighbours to their minimum by a partial aggregate and joins
     it back, so a node with very many neighbours is never held in one place. The number of
     rounds grows with the logarithm of the longest path. Each round is written to the shared
-    folder.
+    folder in place of the one before.
     """
     stars = written(_pairs(links.where("a <> b"), F.greatest("a", "b"), F.least("a", "b")), "stars")
     before = None
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = large.join(least, F.col("a") == F.col("n"))
         small = _pairs(small, F.col("b"), F.col("m")).union(_pairs(small, F.col("a"), F.col("m"))).where("a <> b").distinct()
-        stars = written(small, "stars")
+        last, stars = stars, written(small, "stars")
+        dropped(last)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import SPACES, RollingHash, bounded_batches, column_name, flat, mixed, steps, text_hash, written
+from .batches import SPACES, RollingHash, bounded_batches, column_name, dropped, flat, mixed, steps, text_hash, written
 from .components import components
 
 #: Hash groups of a set, and of a set with more than LARGE n-grams, which needs a finer bound.
@@ -248,7 +248,7 @@ def groups_of(
     ones come last in the order. Keys with the same texts are one key. Under a key move 64 to 512
     counts per text; the sets move once, and only those of texts with a surviving pair. A key or
     cluster with more than ``tile_rows`` texts is joined tile by tile in tasks of their own, each
-    of which returns a spanning forest and no pairs.
+    of which returns a spanning forest and no pairs. Only the result's narrow rows stay on disk.
     """
     bounded_batches(docs.sparkSession)
     frequent = _frequent(docs, words, doc_id, text)
@@ -293,6 +293,7 @@ def groups_of(
         shared.select(F.col("key").alias("_key"), F.ceil(F.col("n_nodes") / tile_rows).cast("long").alias("tiles")), "shingle-shared"
     )
     met = written(postings.join(shared, F.col("key") == F.col("_key")).select("key", "tiles", "node"), "shingle-postings")
+    dropped(shared)
     wanted = met.groupBy("node").agg(F.collect_list(F.struct("key", "tiles")).alias("keys")).withColumnRenamed("node", "_node")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +325,14 @@ def groups_of(
         return [(group[i][4], group[j][4]) for i, j in found]
 
     pairs = _by_group(_tiled(keyed, "key"), ["key", "low", "high"], surviving)
-    clusters = components(written(pairs, "surviving-pairs"))
+    pairs = written(pairs, "surviving-pairs")
+    dropped(met)
+    clusters = components(pairs)
     tiles = clusters.groupBy("root").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("tiles")).withColumnRenamed("root", "cluster")
-    clusters = written(clusters.join(tiles, F.col("root") == F.col("cluster")).select("node", "cluster", "tiles"), "shingle-clusters")
+    members_of = written(clusters.join(tiles, F.col("root") == F.col("cluster")).select("node", "cluster", "tiles"), "shingle-clusters")
+    dropped(pairs)
     placed = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    placed = placed.join(clusters, F.col("_node") == F.col("node")).select("_id", "_tag", "node", "cluster", "tiles")
+    placed = placed.join(members_of, F.col("_node") == F.col("node")).select("_id", "_tag", "node", "cluster", "tiles")
     texts = narrow.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("text", "node", "cluster", "tiles")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,6 +352,7 @@ def groups_of(
         return [(group[i][4], group[j][4]) for i, j in found]
 
     links = written(_by_group(_tiled(members, "cluster"), ["cluster", "low", "high"], verified), "shingle-links")
+    dropped(members_of)
     roots = components(links)
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min("first").alias("best"))
@@ -358,18 +363,22 @@ def groups_of(
         "doc_id", "tag", "n", F.col("best.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tag") == F.col("best.tag"))).alias("kept"),
     )
-    return full.unionByName(empty).select("doc_id", "tag", F.col("n").alias("n_shingles"), "component_id", "kept")
+    groups = written(full.unionByName(empty).select("doc_id", "tag", F.col("n").alias("n_shingles"), "component_id", "kept"), "shingle-groups")
+    dropped(sets, classes, links)
+    return groups
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``groups_of`` keeps, one row of each group, all columns as they are.
 
     Of repeated rows the one with the smallest other values stays; rows without words all stay.
+    Texts are shuffled once: the key of the join, in which null ids are equal, is that of the window.
     """
-    tag, place, key, key_tag, all_rows = (column_name(docs, c) for c in ("text_tag", "place", "kept_id", "kept_tag", "kept_all"))
+    own, place, key, all_rows = (column_name(docs, c) for c in ("text_key", "place", "kept_key", "kept_all"))
     kept = groups_of(docs, words, percent, doc_id, text).where("kept").select(
-        F.col("doc_id").alias(key), F.col("tag").alias(key_tag), (F.col("n_shingles") == 0).alias(all_rows)
+        F.struct(F.col("doc_id").alias("id"), "tag").alias(key), (F.col("n_shingles") == 0).alias(all_rows)
     ).distinct()
-    rows = docs.withColumn(tag, text_hash(text)).join(kept, F.col(doc_id).eqNullSafe(F.col(key)) & (F.col(tag) == F.col(key_tag)))
-    order = Window.partitionBy(tag, doc_id).orderBy(*[F.col(c) for c in docs.columns if c not in (doc_id, text)] or [F.lit(0)])
+    same = F.struct(F.col(doc_id).alias("id"), text_hash(text).alias("tag")).cast(kept.schema[key].dataType)  # else the join casts it
+    rows = docs.withColumn(own, same).join(kept, F.col(own) == F.col(key))
+    order = Window.partitionBy(own).orderBy(*[F.col(c) for c in docs.columns if c not in (doc_id, text)] or [F.lit(0)])
     return rows.withColumn(place, F.row_number().over(order)).where(F.col(all_rows) | (F.col(place) == 1)).select(*docs.columns)
